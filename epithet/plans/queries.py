@@ -33,6 +33,8 @@ QUERIES: dict[str, Query] = {}
 CATEGORY = "alpha"
 TARGETS = ("thon", "than")
 POSES = ("adj", "verb", "noun")
+# Similarity queries keep rarer terms, so that all three test categories have some.
+SIMILARITY_MIN_COUNT = 2
 # Lexicon of the older collectors, which add a plural to every term.
 OLD_LEX = Lexicon(LEX.terms, always_plural=True)
 
@@ -79,12 +81,12 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.clean_counts(_window_rows(spark, sf), LEX)
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return logodds.weighted_log_odds(settle(_counts(spark, sf)), poses=POSES)
+def _scores(spark: SparkSession, sf: str, min_count: int = logodds.MIN_COUNT) -> DataFrame:
+    return logodds.weighted_log_odds(settle(_counts(spark, sf)), min_count=min_count, poses=POSES)
 
 
-def _top(spark: SparkSession, sf: str) -> DataFrame:
-    return logodds.top_terms(settle(_scores(spark, sf)))
+def _top(spark: SparkSession, sf: str, min_count: int = logodds.MIN_COUNT) -> DataFrame:
+    return logodds.top_terms(settle(_scores(spark, sf, min_count)))
 
 
 def _vectors(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
@@ -101,14 +103,14 @@ def _members(spark: SparkSession) -> DataFrame:
 
 
 def _similarities(spark: SparkSession, sf: str) -> DataFrame:
-    top, members = settle(_top(spark, sf)), _members(spark)
+    top, members = settle(_top(spark, sf, SIMILARITY_MIN_COUNT)), _members(spark)
     texts = top.select(F.col("term").alias("text")).union(members.select("category"))
     return similarity.term_category_similarity(top, members, _vectors(spark, sf, texts))
 
 
 def _contrast(spark: SparkSession, sf: str) -> DataFrame:
     members = _members(spark)
-    docs = similarity.group_documents(settle(_top(spark, sf)))
+    docs = similarity.group_documents(settle(_top(spark, sf, SIMILARITY_MIN_COUNT)))
     categories = similarity.category_documents(docs, members)
     texts = docs.select(F.explode("terms").alias("text"))
     vectors = _vectors(spark, sf, texts)
@@ -546,7 +548,7 @@ def term_category_sim(spark, sf):
 @query
 def pseudo_docs(spark, sf):
     """Documents of groups and of categories."""
-    docs = similarity.group_documents(settle(_top(spark, sf)))
+    docs = similarity.group_documents(settle(_top(spark, sf, SIMILARITY_MIN_COUNT)))
     categories = similarity.category_documents(docs, _members(spark))
     return docs.select(F.lit("group").alias("kind"), F.col("grp").alias("name"), "pos", "text").unionByName(
         categories.select(F.lit("category").alias("kind"), F.col("category").alias("name"), "pos", "text")
