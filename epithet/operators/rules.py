@@ -107,13 +107,14 @@ def _stops(m: Column) -> Column:
     )
 
 
-def _verb_rules(m: Column, toks: Column) -> Column:
+def _verb_rules(x: Column, toks: Column) -> Column:
+    m = x["m"]
     e, h, hh = m["e"], m["h"], m["hh"]
     governs = m["mod"] & (h["dep"] == "nsubj") & (hh["pos"] == "VERB")
     active = only_if(
         governs, F.concat(F.array(low(hh["lemma"])), lemmas(_conjuncts(m["ch_hh"], "VERB")))
     )
-    after_adjective = lemmas(_conjuncts(_under(toks, _copula_adjectives(m)), "VERB"))
+    after_adjective = lemmas(_conjuncts(x["joined"], "VERB"))
     clauses = F.filter(
         m["ch_h"],
         lambda c: (c["pos"] == "VERB")
@@ -136,9 +137,8 @@ def _verb_rules(m: Column, toks: Column) -> Column:
     return F.concat(active, after_adjective, clausal, own, agent)
 
 
-def _copula_adjective_rule(m: Column, toks: Column) -> Column:
-    acomps = _copula_adjectives(m)
-    return F.concat(lemmas(acomps), lemmas(_conjuncts(_under(toks, acomps), "ADJ")))
+def _copula_adjective_rule(x: Column) -> Column:
+    return F.concat(lemmas(x["acomps"]), lemmas(_conjuncts(x["joined"], "ADJ")))
 
 
 def _may_be_adjective(t: Column, m: Column, toks: Column, lexicon: Lexicon | None) -> Column:
@@ -150,8 +150,11 @@ def _may_be_adjective(t: Column, m: Column, toks: Column, lexicon: Lexicon | Non
         & ~((th["dep"] == "attr") & (th["head"] == m["h"]["i"]))
         & ~th["i"].isin(m["e"]["i"], m["h"]["i"])
     )
+    # Cheap and selective first: only these can pass, or open a hyphen span.
+    possible = t["pos"].isin("ADJ", "VERB") | (F.get(toks, t["i"] + 1)["text"] == "-")
     return (
-        ~t["pos"].isin(*params.NEVER_ADJECTIVE_POS)
+        F.coalesce(possible, F.lit(False))
+        & ~t["pos"].isin(*params.NEVER_ADJECTIVE_POS)
         & (t["i"] != m["e"]["i"])
         & _lexicon_group(lemma, lexicon).isNull()
         & ~lemma.isin(*params.INTENSIFIERS, *params.CATEGORY_WORDS)
@@ -243,24 +246,37 @@ def collect_modifiers(annotated: DataFrame, lexicon: Lexicon | None = None) -> D
     ctx = mention_context(annotated, lexicon).select("doc_id", "sent_id", "toks", "ms", *_overlap(lexicon))
 
     def with_candidates(m: Column) -> Column:
-        cands = F.filter(toks, lambda t: ~_stops(m) & _may_be_adjective(t, m, toks, lexicon))
-        return F.struct(m.alias("m"), cands.alias("cands"))
+        cands = F.filter(toks, lambda t: _may_be_adjective(t, m, toks, lexicon))
+        none = F.slice(toks, 1, 0)
+        return F.struct(
+            m.alias("m"),
+            F.when(_stops(m), none).otherwise(cands).alias("cands"),
+            _copula_adjectives(m).alias("acomps"),
+        )
 
-    def with_hyphens(x: Column) -> Column:
-        return F.struct(x["m"], x["cands"], _hyphen_starts(x["cands"], toks).alias("starts"))
+    def with_followers(x: Column) -> Column:
+        none = F.slice(toks, 1, 0)
+        under = F.when(F.size(x["acomps"]) > 0, _under(toks, x["acomps"])).otherwise(none)
+        return F.struct(
+            x["m"],
+            x["cands"],
+            x["acomps"],
+            under.alias("joined"),
+            _hyphen_starts(x["cands"], toks).alias("starts"),
+        )
 
     def collected(x: Column) -> Column:
         m = x["m"]
-        adjs = F.concat(_copula_adjective_rule(m, toks), _hyphen_rule(x, toks), _plain_rule(x, toks))
+        adjs = F.concat(_copula_adjective_rule(x), _hyphen_rule(x, toks), _plain_rule(x, toks))
         return F.struct(
             m["grp"].alias("grp"),
             _noun_rules(m).alias("nouns"),
-            _verb_rules(m, toks).alias("verbs"),
+            _verb_rules(x, toks).alias("verbs"),
             adjs.alias("adjs"),
         )
 
     staged = ctx.select("*", F.transform("ms", with_candidates).alias("xs"))
-    staged = staged.select("doc_id", "sent_id", "toks", F.transform("xs", with_hyphens).alias("xs"))
+    staged = staged.select("doc_id", "sent_id", "toks", F.transform("xs", with_followers).alias("xs"))
     hits = staged.select("doc_id", "sent_id", F.transform("xs", collected).alias("hits"))
     return fold_by_group(hits)
 
