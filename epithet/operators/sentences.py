@@ -6,6 +6,8 @@ text itself is never shuffled: one ``explode`` emits only what is kept.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,10 +149,17 @@ def window_around(tokens: Column, position: Column, window: int) -> Column:
 
 
 def masked_window(
-    sents: DataFrame, window: int = params.WINDOW, mask: str = params.MASK
+    sents: DataFrame,
+    window: int = params.WINDOW,
+    mask: str = params.MASK,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Context window of the representative group's first occurrence, group masked."""
-    at = sents.select("doc_id", "sent_id", "tokens", representative(F.col("overlap")).alias("grp"))
+    """Context window of the representative group's first occurrence, group masked.
+
+    ``keep`` names input columns to carry along.
+    """
+    columns = ["doc_id", "sent_id", "tokens", *(c for c in keep if c != "tokens")]
+    at = sents.select(*columns, representative(F.col("overlap")).alias("grp"))
     at = at.withColumn("at", (F.array_position("tokens", F.col("grp")) - 1).cast("int"))
     masked = F.transform("tokens", lambda t, i: F.when(i == F.col("at"), F.lit(mask)).otherwise(t))
     cut = window_around(masked, F.col("at"), window)
@@ -159,6 +168,7 @@ def masked_window(
         "sent_id",
         "grp",
         T.flatten_newlines(F.array_join(cut, " ")).alias("window_text"),
+        *keep,
     )
 
 
