@@ -56,13 +56,28 @@ def merge_multiword(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return _explode(docs, kept)
 
 
+def _keyword_flags(text: Column, lexicon: Lexicon) -> Column:
+    """array<struct<sent_id, sentence, is_keyword>>; the folded text is built once per sentence."""
+    folded = F.transform(
+        T.sentences(text),
+        lambda s: F.struct(
+            s["sent_id"], s["sentence"], T.keyword_text(s["sentence"]).alias("folded")
+        ),
+    )
+    return F.transform(
+        folded,
+        lambda s: F.struct(
+            s["sent_id"],
+            s["sentence"],
+            T.mentions_substring(s["folded"], lexicon).alias("is_keyword"),
+        ),
+    )
+
+
 def keyword_sentences(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Sentences that contain a term as a substring (``-`` and ``_`` read as blanks)."""
-    kept = F.filter(
-        T.sentences(F.col("text")),
-        lambda s: T.mentions_substring(T.keyword_text(s["sentence"]), lexicon),
-    )
-    return _explode(docs, kept)
+    kept = F.filter(_keyword_flags(F.col("text"), lexicon), lambda s: s["is_keyword"])
+    return _explode(docs, kept).drop("is_keyword")
 
 
 def sentence_budget(
@@ -76,15 +91,7 @@ def sentence_budget(
     Filler is limited to ``max_filler`` and to the room keyword sentences leave
     under ``max_total``; keyword sentences themselves are never dropped.
     """
-    flagged = F.transform(
-        T.sentences(F.col("text")),
-        lambda s: F.struct(
-            s["sent_id"],
-            s["sentence"],
-            T.mentions_substring(T.keyword_text(s["sentence"]), lexicon).alias("is_keyword"),
-        ),
-    )
-    split = docs.select("doc_id", flagged.alias("all")).select(
+    split = docs.select("doc_id", _keyword_flags(F.col("text"), lexicon).alias("all")).select(
         "doc_id",
         F.filter("all", lambda s: s["is_keyword"]).alias("kw"),
         F.filter("all", lambda s: ~s["is_keyword"]).alias("filler"),
