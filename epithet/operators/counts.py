@@ -122,15 +122,19 @@ def vocabulary_sizes(counts: DataFrame, everywhere: str = "*") -> DataFrame:
     return per_group.unionByName(joint)
 
 
-def counter_maps(counts: DataFrame, shards: int = 16) -> DataFrame:
-    """Counters as map columns, each (group, pos) split into ``shards`` maps by term hash.
+def counter_maps(counts: DataFrame, max_entries: int = 100_000) -> DataFrame:
+    """Counters as map columns, split by term hash into maps of about ``max_entries``.
 
-    One map per group would grow with the vocabulary; raise ``shards`` with it.
+    One map per (group, pos) would grow with the vocabulary.  The table of vocabulary
+    sizes has one row per (group, pos), which the lexicon bounds.
     """
-    shard = T.hash_number(F.col("term")) % F.lit(shards)
+    sizes = counts.groupBy("grp", "pos").agg(
+        F.ceil(F.count(F.lit(1)) / max_entries).alias("shards")
+    )
     entries = F.array_sort(F.collect_list(F.struct("term", "cnt")))
     return (
-        counts.withColumn("shard", shard)
+        counts.join(F.broadcast(sizes), ["grp", "pos"])
+        .withColumn("shard", T.hash_number(F.col("term")) % F.col("shards"))
         .groupBy("grp", "pos", "shard")
         .agg(F.map_from_entries(entries).alias("counter"))
     )

@@ -46,6 +46,12 @@ def tokenize(docs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     return _explode(docs, _tokenized(F.col("text"), lexicon))
 
 
+def document_tokens(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """All tokens of each document, multiword terms merged."""
+    split = docs.select("doc_id", T.words(F.coalesce(F.col("text"), F.lit(""))).alias("_words"))
+    return split.select("doc_id", T.merge_terms(F.col("_words"), lexicon).alias("tokens"))
+
+
 def merge_multiword(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Sentences in which a multiword term was found, with the merged tokens."""
     many = list(lexicon.multiword)

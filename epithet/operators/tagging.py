@@ -32,13 +32,21 @@ def apply_tagger(name: str, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return _TAGGERS[name](docs, lexicon)
 
 
-def _phrases(text: Column, lexicon: Lexicon, gap: str) -> Column:
-    """Distinct surface strings of the multiword terms, words separated by ``gap``."""
+def _phrases(text: Column, words: Column, lexicon: Lexicon, gap: str) -> Column:
+    """Distinct surface strings of the multiword terms, words separated by ``gap``.
+
+    The pattern lists every multiword term, so it is only tried on documents that have
+    the first word of one (a hashed lookup per token).
+    """
+    none = F.array().cast("array<string>")
     if not lexicon.multiword:
-        return F.array().cast("array<string>")
+        return none
+    heads = sorted({t.split("_")[0] for t in lexicon.multiword})
     spelled = "|".join(gap.join(map(re.escape, t.split("_"))) for t in lexicon.multiword)
     pattern = rf"(?<![\p{{L}}\p{{N}}_])(?:{spelled})(?![\p{{L}}\p{{N}}_])"
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
+    possible = F.exists(words, lambda w: F.substring_index(w, "_", 1).isin(heads))
+    return F.when(possible, found).otherwise(none)
 
 
 def _span(text: Column, score: Column) -> Column:
@@ -56,9 +64,11 @@ def _span(text: Column, score: Column) -> Column:
 def _tagged(docs: DataFrame, lexicon: Lexicon, gap: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     singles = [t for t in lexicon.terms if "_" not in t]
-    hits = F.array_distinct(F.filter(T.words(text), lambda t: t.isin(singles)))
-    score = F.size(hits) + F.size(_phrases(text, lexicon, gap))
-    return docs.withColumn("spans", _span(text, score))
+    staged = docs.select("*", T.words(text).alias("_words"))
+    hits = F.array_distinct(F.filter("_words", lambda w: w.isin(singles)))
+    score = F.size(hits) + F.size(_phrases(text, F.col("_words"), lexicon, gap))
+    scored = staged.select(*docs.columns, score.alias("_score"))
+    return scored.select(*docs.columns, _span(text, F.col("_score")).alias("spans"))
 
 
 @tagger("lexicon_tolerant")

@@ -448,8 +448,8 @@ def vocab_size(spark, sf):
 
 @query
 def group_counters(spark, sf):
-    """Counter maps, shown as sorted ``term:count`` lists."""
-    maps = counts.counter_maps(_counts(spark, sf))
+    """Counter maps of about 100 terms, shown as sorted ``term:count`` lists."""
+    maps = counts.counter_maps(_counts(spark, sf), max_entries=100)
     shown = F.transform(
         F.array_sort(F.map_entries("counter")),
         lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")),
@@ -515,8 +515,9 @@ def groups_vs_rest(spark, sf):
 
 
 def _label_means(spark, sf) -> DataFrame:
+    """Settled, so that the join with the embeddings is planned from its real size."""
     emb = _table(spark, sf, "embeddings").select("label", F.col("embedding").alias("vector"))
-    return mean_pool(emb, ["label"], "vector")
+    return settle(mean_pool(emb, ["label"], "vector"))
 
 
 @query

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from epithet import params
 
@@ -35,14 +34,9 @@ def write_shards(docs: DataFrame, path: str, records: int = params.SHARD_RECORDS
     )
 
 
-def write_tokens(sents: DataFrame, path: str) -> None:
-    """One ``{"tokens": [...]}`` line per document, sentences in order.
-
-    Sentences of one document are gathered, never more.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("sent_id", "tokens")))
-    per_doc = sents.groupBy("doc_id").agg(F.flatten(F.transform(ordered, lambda s: s["tokens"])).alias("tokens"))
-    per_doc.select("tokens").write.mode("overwrite").json(path)
+def write_tokens(doc_tokens: DataFrame, path: str) -> None:
+    """One ``{"tokens": [...]}`` line per document."""
+    doc_tokens.select("tokens").write.mode("overwrite").json(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

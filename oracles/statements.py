@@ -263,9 +263,10 @@ STATEMENTS = {
         SELECT grp, pos, count(DISTINCT term) AS n_terms FROM cc GROUP BY grp, pos
         UNION ALL SELECT '*', pos, count(DISTINCT term) FROM cc GROUP BY pos""",
     "group_counters": """
-        SELECT grp, pos, ('0x' || substr(md5(term), 1, 8))::BIGINT % 16 AS shard,
-            string_agg(term || ':' || cnt, ' ' ORDER BY term) AS counter
-        FROM cc GROUP BY ALL""",
+        SELECT grp, pos, shard, string_agg(term || ':' || cnt, ' ' ORDER BY term) AS counter FROM (
+          SELECT *, ('0x' || substr(md5(term), 1, 8))::BIGINT
+            % ceil(count(*) OVER (PARTITION BY grp, pos) / 100)::BIGINT AS shard FROM cc)
+        GROUP BY grp, pos, shard""",
     "taxonomy_join": """
         SELECT c.grp, t.category, t.region, c.pos, c.term, c.cnt FROM cc c LEFT JOIN tax t ON t.term = c.grp""",
     # log-odds

@@ -51,7 +51,7 @@ def test_shards_tokens_and_csv(spark, tmp_path):
     assert len(files) == 3
     assert corpus.documents(spark.read.json(str(tmp_path / "mixed"))).count() == 25
 
-    tables.write_tokens(sentences.tokenize(docs, LEX), str(tmp_path / "tokens"))
+    tables.write_tokens(sentences.document_tokens(docs, LEX), str(tmp_path / "tokens"))
     rows = spark.read.json(str(tmp_path / "tokens")).collect()
     assert len(rows) == 25 and rows[0].tokens == ["thai", "one", "sri_lankan", "two"]
 
