@@ -15,10 +15,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double precision; null when a vector is zero."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms)
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def has_direction(a: Column) -> Column:
+    """Neither null, nor all zero, nor holding a NaN: a cosine can be taken."""
+    return F.exists(a, lambda x: x != 0) & ~F.exists(a, lambda x: F.isnan(x))
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:

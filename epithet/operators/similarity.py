@@ -8,17 +8,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epithet.functions.vectors import cosine, mean_pool
+from epithet.functions.vectors import dot, has_direction, mean_pool, norm
 
 
 def cosine_to(df: DataFrame, other: DataFrame, on: str, vector: str = "vector") -> DataFrame:
     """Cosine of each row's vector to every vector ``other`` has for its key.
 
-    Other columns of both sides are kept.  Rows with a zero vector on either side drop out.
+    Other columns of both sides are kept.  Vectors without a direction are dropped and
+    norms are taken before the join, so a pair costs one dot product.
     """
-    target = other.withColumnRenamed(vector, "_target")
-    sims = df.join(target, on).withColumn("cosine_sim", cosine(F.col(vector), F.col("_target")))
-    return sims.where(F.col("cosine_sim").isNotNull()).drop("_target")
+
+    def prepared(side: DataFrame, to: str, length: str) -> DataFrame:
+        kept = side.where(has_direction(F.col(vector)))
+        return kept.withColumn(length, norm(F.col(vector))).withColumnRenamed(vector, to)
+
+    pairs = prepared(df, vector, "_norm").join(prepared(other, "_target", "_target_norm"), on)
+    sim = dot(F.col(vector), F.col("_target")) / (F.col("_norm") * F.col("_target_norm"))
+    return pairs.withColumn("cosine_sim", sim).drop("_target", "_norm", "_target_norm")
 
 
 def term_category_similarity(top: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -87,9 +87,20 @@ def span_score(tagged: DataFrame) -> DataFrame:
     return tagged.withColumn("score", F.coalesce(F.get("spans", F.lit(0))["score"], F.lit(0.0)))
 
 
+def _positive(spans: str = "spans") -> Column:
+    return F.filter(spans, lambda s: s["score"] > 0)
+
+
 def mix(tagged: DataFrame) -> DataFrame:
-    """Documents with a positive score: id, text, score."""
-    return span_score(tagged).where("score > 0").select("doc_id", "text", "score")
+    """Documents with a positive score: id, text, score.
+
+    Unnesting the positive span drops the others; a filter on the score would be pushed
+    below the tagger and tokenise every document twice.
+    """
+    first = F.slice(_positive(), 1, 1)
+    return tagged.select("doc_id", "text", F.explode(first).alias("s")).select(
+        "doc_id", "text", "s.score"
+    )
 
 
 def find_examples(
@@ -116,7 +127,8 @@ def find_examples(
 
 def with_attributes(tagged: DataFrame) -> DataFrame:
     """Records whose span list holds something: a span with a positive score."""
-    return tagged.where(F.exists("spans", lambda s: s["score"] > 0))
+    first = F.slice(_positive(), 1, 1)
+    return tagged.select(*tagged.columns, F.explode(first).alias("_s")).drop("_s")
 
 
 def attribute_profile(tagged: DataFrame, by: str) -> DataFrame:
