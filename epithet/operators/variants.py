@@ -290,6 +290,11 @@ def _named(annotated: DataFrame, lexicon: Lexicon) -> Column:
     return F.filter("toks", lambda t: (t["ent"] == "NORP") & T.is_term(low(t["text"]), lexicon))
 
 
+def holds_norp(toks: Column) -> Column:
+    """True where any token is tagged as a nationality, religious or political group."""
+    return F.exists(toks, lambda t: t["ent"] == "NORP")
+
+
 def norp_verbs(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Verbs that govern a named group or hang on it."""
     toks = F.col("toks")

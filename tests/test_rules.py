@@ -142,6 +142,14 @@ def test_relative_clause_and_fallback_verbs(spark):
     assert [(r.grp, r.term) for r in rows] == [("thai", "run")]
 
 
+def test_norp_word_test(spark):
+    df = frame(spark, sentence("thai/thai/ADJ/JJ/ROOT/0"), sentence("rice/rice/NOUN/NN/ROOT/0"))
+    from pyspark.sql import functions as F
+
+    got = df.select("doc_id", variants.holds_norp(F.col("toks")).alias("n")).orderBy("doc_id").collect()
+    assert [r.n for r in got] == [True, False]
+
+
 def test_document_unit_joins_sentences(spark):
     one = sentence("thais/thais/PROPN/NNPS/nsubj/1 sing/sing/VERB/VBP/ROOT/1")
     two = sentence("thais/thais/PROPN/NNPS/nsubj/1 dance/dance/VERB/VBP/ROOT/1")
