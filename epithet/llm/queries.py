@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epithet.llm import mixing, quality_rules, url_filters
+from epithet.llm import (
+    byte_bpe,
+    chat_format,
+    lm_scoring,
+    mixing,
+    quality_ranker,
+    quality_rules,
+    token_counts,
+    url_filters,
+)
 from epithet.llm.statements import STATEMENTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +25,20 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality_ranker.quality_scores(docs, labels)
+
+
 QUERIES: dict[str, Query] = {
     "op2_url_filters": _over("pages", url_filters.judge_pages),
+    "op3_quality_ranker": _quality_ranker,
     "op5_mixing": _over("documents", mixing.mixing_report),
     "op6_quality_rules": _over("documents", quality_rules.quality_report),
+    "op7_byte_bpe": _over("documents", byte_bpe.round_trip),
+    "op8_token_counts": _over("documents", token_counts.document_token_counts),
+    "op9_lm_scoring": _over("documents", lm_scoring.held_out_scores),
+    "op10_chat_format": _over("conversations", chat_format.conversation_report),
 }
 
 

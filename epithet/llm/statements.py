@@ -62,4 +62,12 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM measured
 """
 
-STATEMENTS = {"op2_url_filters": _PAGES, "op6_quality_rules": _QUALITY_RULES}
+_TOKEN_COUNTS = r"""
+SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents
+"""
+
+STATEMENTS = {
+    "op2_url_filters": _PAGES,
+    "op6_quality_rules": _QUALITY_RULES,
+    "op8_token_counts": _TOKEN_COUNTS,
+}
