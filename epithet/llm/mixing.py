@@ -17,17 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epithet.llm.common import WORD, stage, text_or_empty
+from epithet.llm.common import WORD, let, stage, text_or_empty
 
 BLOCK_BITS, SLOT_BITS = 8, 16
 BLOCKS = 1 << BLOCK_BITS
 SEED = 20_011
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _slot(doc_id: str) -> Column:
     """Place of a row in its source's permutation, 0 to 65,535."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(doc_id), F.col("size")), 64 - SLOT_BITS)
@@ -125,7 +121,7 @@ def _left_half(node: Column, quotas: Column) -> Column:
     return F.aggregate(
         quotas,
         start,
-        lambda a, q: _let(
+        lambda a, q: let(
             draws(a["left"], a["slots"], F.size(a["out"]), q),
             lambda got: F.struct(
                 (a["left"] - q).alias("left"),
@@ -144,7 +140,7 @@ def split_quotas(quotas: DataFrame, levels: int) -> DataFrame:
     )
     for _ in range(levels):
         left = _left_half(F.col("node"), F.col("quotas"))
-        halves = _let(
+        halves = let(
             left,
             lambda half: F.array(
                 F.struct((F.col("node") * 2).alias("node"), half.alias("quotas")),

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epithet.llm.common import WORD, text_or_empty, words
+from epithet.llm.common import WORD, let, text_or_empty, words
 
 SYMBOLS = r"[#*$%&|<>]"
 POSITION_BITS = 28
@@ -89,15 +89,15 @@ def repeated_window_words(tokens: Column) -> Column:
                     x.bitwiseAND(F.lit(mask)).cast("int").alias("i"),
                 ),
             )
-            return _let(
+            return let(
                 F.sort_array(keyed),
                 lambda order: F.array_sort(
                     F.transform(again(order, lambda a, b: a["h"] == b["h"]), lambda x: x["i"])
                 ),
             )
 
-        starts = _let(packed, lambda p: exact(again(p, lambda a, b: lead(a) == lead(b))))
-        return _let(
+        starts = let(packed, lambda p: exact(again(p, lambda a, b: lead(a) == lead(b))))
+        return let(
             starts,
             lambda s: F.aggregate(
                 F.transform(s, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(s, i + 1) - x, F.lit(3)))),
@@ -107,15 +107,10 @@ def repeated_window_words(tokens: Column) -> Column:
         )
 
     return F.when(F.size(tokens) < 4, F.lit(0).cast("long")).otherwise(
-        _let(window, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+        let(window, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     )
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: a lambda over an array of one element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def line_quality(docs: DataFrame, rules: LineRules | None = None, min_words: int = 50) -> DataFrame:
     """All input columns, a struct ``rules`` of measures and decisions, and ``clean_text``.
 
@@ -132,7 +127,7 @@ def line_quality(docs: DataFrame, rules: LineRules | None = None, min_words: int
         tokens = words(t["text"])
         ends = F.filter(t["lines"], lambda line: line.rlike(WORD))
         passing = F.filter(t["lines"], lambda line: _line_passes(line, rules))
-        return _let(
+        return let(
             F.struct(
                 F.size(tokens).cast("long").alias("n_words"),
                 repeated_window_words(t["words"]).alias("n_repeat_words"),
@@ -142,7 +137,7 @@ def line_quality(docs: DataFrame, rules: LineRules | None = None, min_words: int
             lambda s: s,
         )
 
-    parts = _let(
+    parts = let(
         F.struct(text.alias("text"), lines.alias("lines"), words(text).alias("words")), judged
     )
     measured = docs.drop("rules", "clean_text").withColumn("rules", parts)

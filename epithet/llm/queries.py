@@ -11,6 +11,7 @@ from epithet.llm import (
     chat_format,
     lm_scoring,
     mixing,
+    order_minhash,
     quality_ranker,
     quality_rules,
     token_counts,
@@ -33,6 +34,7 @@ def _quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_filters": _over("pages", url_filters.judge_pages),
     "op3_quality_ranker": _quality_ranker,
+    "op4_order_minhash": _over("documents", order_minhash.fingerprint_report),
     "op5_mixing": _over("documents", mixing.mixing_report),
     "op6_quality_rules": _over("documents", quality_rules.quality_report),
     "op7_byte_bpe": _over("documents", byte_bpe.round_trip),
