@@ -11,6 +11,7 @@ from epithet.llm import (
     chat_format,
     lm_scoring,
     mixing,
+    ngram_join,
     order_minhash,
     quality_ranker,
     quality_rules,
@@ -32,6 +33,7 @@ def _quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": _over("documents", ngram_join.jaccard_components),
     "op2_url_filters": _over("pages", url_filters.judge_pages),
     "op3_quality_ranker": _quality_ranker,
     "op4_order_minhash": _over("documents", order_minhash.fingerprint_report),
