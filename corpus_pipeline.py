@@ -4,15 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from epithet.llm import byte_bpe, mixing, ngram_join, quality_ranker, quality_rules
 from epithet.llm.common import stage
-from epithet.llm.quality_rules import keep_clean
 
 
 def _quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_clean(docs)
+    """Failing lines go, and documents that fail the base rules or lose too much."""
+    return quality_rules.keep_clean(docs)
 
 
-STAGES = [("quality_rules", _quality_rules)]
+def _quality_ranker(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the threshold go.  The ranker learns from the raw labelled documents: the
+    stage before has removed most of those marked bad, and a ranking needs both sides."""
+    raw, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality_ranker.keep_good(docs, quality_ranker.learn(raw, labels))
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return ngram_join.keep_one(docs)
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target sizes; a document stands once for each time it is drawn."""
+    return mixing.mix(docs)
+
+
+def _byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every drawn document."""
+    return byte_bpe.encode(docs, keep=("doc_id", "source"))
+
+
+STAGES = [
+    ("quality_rules", _quality_rules),
+    ("quality_ranker", _quality_ranker),
+    ("near_duplicates", _near_duplicates),
+    ("mixing", _mixing),
+    ("byte_bpe", _byte_bpe),
+]
 
 # The ranker is a trained model and byte pairs are merged by rank: no SQL gives run()'s rows.
 ORACLE_SQL = None
