@@ -20,6 +20,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from epithet.llm.common import Shared
+
 _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 # Remembered pre-tokens and probes of one worker; a full memory is emptied, which costs time only.
@@ -172,7 +174,7 @@ def _map_texts(docs: DataFrame, keep: Sequence[str], row: Callable, fields: pa.S
     """``keep`` columns and what ``row(encoder, text)`` gives; null counts as an empty text."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    shared = docs.sparkSession.sparkContext.broadcast(bpe)
+    shared = Shared(docs.sparkSession, bpe)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
@@ -210,7 +212,7 @@ def decode(encoded: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
     """``encoded`` with ``ids`` replaced by ``bytes``; null ids give null."""
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    shared = encoded.sparkSession.sparkContext.broadcast(bpe or ByteBpe.load())
+    shared = Shared(encoded.sparkSession, bpe or ByteBpe.load())
     others = [c for c in encoded.columns if c != "ids"]
     schema = StructType([encoded.schema[c] for c in others] + [StructField("bytes", BinaryType())])
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epithet.llm.byte_bpe import ByteBpe
+from epithet.llm.common import Shared
 
 # The markers of the template and further control strings of common chat templates.
 ROLE_BEGIN, ROLE_END, TURN_END = "[INST]", "[/INST]", "</s>"
@@ -81,7 +82,7 @@ def format_turns(turns: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
     conversation's ids are those of its rows in order.  Turns are encoded where they are read; only
     the ids are shuffled, and no conversation is gathered.
     """
-    shared = turns.sparkSession.sparkContext.broadcast(Template(bpe or ByteBpe.load()))
+    shared = Shared(turns.sparkSession, Template(bpe or ByteBpe.load()))
     empty = F.lit("")
     rows = turns.select(
         "conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")
@@ -139,7 +140,7 @@ def digest(formatted: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
     A digest takes a conversation's text in order, so one task reads it as a stream and holds one
     batch of turns, however long the conversation is.
     """
-    shared = formatted.sparkSession.sparkContext.broadcast(Template(bpe or ByteBpe.load()))
+    shared = Shared(formatted.sparkSession, Template(bpe or ByteBpe.load()))
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = [f.split()[0] for f in DIGEST.split(", ")]
 

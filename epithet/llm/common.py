@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,22 @@ def shared_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Shared:
+    """An object of bounded size that every task reads; workers keep it from task to task.
+
+    It travels by value, so the executors need not have this package installed.
+    """
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self._data, "loaded"):
+            self._data.loaded = pickle.loads(self._data.value)
+        return self._data.loaded
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_root(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epithet.llm.common import mix, remainder5, stage, word_hashes
+from epithet.llm.common import Shared, mix, remainder5, stage, word_hashes
 
 HEAD = 1 << 20
 MAX_BITS = 1 << 29  # bound of the broadcast filter; beyond it levels are read too high more often
@@ -267,7 +267,7 @@ def _score_slice(model: Model, tokens: np.ndarray, pairs: np.ndarray, before: np
 
 def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
     """Per document its model score, the base score of its common words, and its other words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = pa.schema(
         [

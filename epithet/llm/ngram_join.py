@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epithet.llm.common import mix, shingle_set, stage
+from epithet.llm.common import Shared, mix, shingle_set, stage
 
 SHINGLE = 5
 # Two sets link when PER * overlap >= SHARE * union.
@@ -108,7 +108,7 @@ def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
 
 def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """(gram, salted, key, n, place, central): each set under its rarest n-grams, once per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = Shared(docs.sparkSession, sketch)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -208,7 +208,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     data = np.zeros(FILTER_BITS // 64, np.uint64)
     for row in ids.groupBy(word).agg(F.bit_or(one).alias("bits")).toLocalIterator():
         data[row["word"]] = np.uint64(row["bits"] & (1 << 64) - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(data)
+    shared = Shared(docs.sparkSession, data)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

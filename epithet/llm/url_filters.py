@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epithet.llm.common import Shared
+
 # Bound of the rule list that goes to every task, in characters of its patterns.
 MAX_RULE_CHARS = 32_000_000
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -132,9 +134,7 @@ def filter_urls(
     rules = list(rules)
     if sum(len(r.pattern) for r in rules) > MAX_RULE_CHARS:
         raise ValueError(f"the patterns have over {MAX_RULE_CHARS} characters; split the rule list")
-    index = pages.sparkSession.sparkContext.broadcast(
-        RuleIndex(rules, token_frequency(pages, rules, col))
-    )
+    index = Shared(pages.sparkSession, RuleIndex(rules, token_frequency(pages, rules, col)))
     kind = pages.schema[id_col].dataType.simpleString()
     names = ["host", "path", "rule", "verdict", "pattern"]
 
