@@ -20,15 +20,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder, written back to the session;
-    on a cluster a missing setting is an error.
+    Where it is unset, a session whose executors are threads of this process sets a temporary
+    folder; on a cluster a missing setting is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="epithet-llm-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="epithet-llm-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
