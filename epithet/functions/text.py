@@ -34,12 +34,17 @@ def within_words(c: Column, limit: int) -> Column:
     return (F.length(c) <= 2 * limit) | (F.regexp_count(c, F.lit(f"[{SPACE}]+")) < limit)
 
 
-def sentences(text: Column, max_words: int = params.MAX_SENTENCE_WORDS) -> Column:
-    """array<struct<sent_id, sentence>>: punctuation runs split, blank and overlong dropped."""
+def sentences(text: Column, max_words: int | None = None) -> Column:
+    """array<struct<sent_id, sentence>>: punctuation runs split, blank ones dropped.
+
+    With ``max_words``, sentences of more words are dropped as well.
+    """
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE_RUN), F.lit(0))
     numbered = F.transform(
         runs, lambda s, i: F.struct(i.cast("bigint").alias("sent_id"), s.alias("sentence"))
     )
+    if max_words is None:
+        return numbered
     return F.filter(numbered, lambda s: within_words(s["sentence"], max_words))
 
 
@@ -100,6 +105,11 @@ def mentions_substring(text: Column, lexicon: Lexicon) -> Column:
     return F.exists(needles, lambda t: F.contains(text, t))
 
 
+def normalize_form(c: Column) -> Column:
+    """A token's text as lexicon terms are written."""
+    return F.translate(F.lower(c), "- ", "__")
+
+
 def keyword_text(c: Column) -> Column:
     return F.translate(F.lower(c), "-_", "  ")
 
@@ -167,8 +177,16 @@ def names_group(term: Column, grp: Column, lexicon: Lexicon, substrings=params.G
 
 
 def parse_list(c: Column) -> Column:
-    """Text of a string list (single or double quotes) -> array; unreadable -> empty."""
-    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    """Text of a string list (single or double quotes) -> array; unreadable -> empty.
+
+    Literals that JSON lacks are read as well: ``None`` (null), a comma after the last element and
+    ``\\x..`` escapes.
+    """
+    literal = F.regexp_replace(c, r",[\s]*\]\s*$", "]")
+    literal = F.regexp_replace(literal, r"(?<=[\[,])(\s*)None(?=\s*[,\]])", "$1null")
+    literal = F.regexp_replace(literal, r"\\x([0-9A-Fa-f]{2})", r"\\u00$1")
+    read = F.coalesce(F.from_json(c, "array<string>"), F.from_json(literal, "array<string>"))
+    return F.coalesce(read, F.array().cast("array<string>"))
 
 
 def list_text(c: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Token annotation: a built-in surface annotator and an adapter for others.
+"""Token annotation: parses of an outside parser, as a function or as a table of tokens.
+
+``surface_annotate`` is no parser: it fills the token schema from word shapes, as feed for tests
+and for the registered queries.
 
 A sentence row carries ``toks``: array<struct<i, text, lemma, pos, tag, dep, head,
 ent>>, heads being positions in the same array (a root points to itself).
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epithet import params
+from epithet.functions import text as T
 from epithet.functions.arrays import unnest
 from epithet.params import Lexicon
 
@@ -147,16 +151,55 @@ def surface_annotate(sents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def external_annotate(
-    sents: DataFrame, parse: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
-) -> DataFrame:
-    """Annotate with a user's parser.
+    parse: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+) -> Callable[[DataFrame, Lexicon], DataFrame]:
+    """An annotator for jobs from a user's parser.
+
+    ``parse`` gets Arrow batches with all columns of the mention sentences (``sentence`` among them)
+    and yields them with a column ``toks``; load the model once at the top of the generator.
+    """
+
+    def annotate(sents: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+        plain = sents.drop("toks")
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
+        return plain.mapInPandas(parse, ", ".join([*fields, f"toks {TOKEN_TYPE}"]))
+
+    return annotate
+
+
+def token_table_annotate(tokens: DataFrame) -> Callable[[DataFrame, Lexicon], DataFrame]:
+    """An annotator for jobs from a table of parsed tokens.
 
-    ``parse`` gets Arrow batches of (doc_id, sent_id, sentence) and yields batches of
-    (doc_id, sent_id, toks); load the model once at the top of the generator.
+    ``tokens`` has one row per token: doc_id, sent_id, i, text, lemma, pos, tag, dep, head, ent.
+    A sentence's tokens are gathered in one row; sentences without parses drop out.
     """
-    types = dict(sents.dtypes)
-    schema = f"doc_id {types['doc_id']}, sent_id {types['sent_id']}, toks {TOKEN_TYPE}"
-    return sents.select("doc_id", "sent_id", "sentence").mapInPandas(parse, schema)
+    fields = ("i", "text", "lemma", "pos", "tag", "dep", "head", "ent")
+    of_type = F.array_sort(F.collect_list(F.struct(*fields))).cast(TOKEN_TYPE)
+    parsed = tokens.groupBy("doc_id", "sent_id").agg(of_type.alias("toks"))
+
+    def annotate(sents: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+        return sents.drop("toks").join(parsed, ["doc_id", "sent_id"])
+
+    return annotate
+
+
+def parsed_sentences(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Annotated mention sentences from a table of parsed tokens alone, ready for the collectors.
+
+    ``overlap`` lists the lexicon's terms among a sentence's lower-case texts and lemmas.
+    """
+    sents = token_table_annotate(tokens)(tokens.select("doc_id", "sent_id").distinct(), lexicon)
+    forms = F.concat(
+        F.transform("toks", lambda t: T.normalize_form(t["text"])),
+        F.transform("toks", lambda t: T.normalize_form(t["lemma"])),
+    )
+    groups = F.transform(forms, lambda w: T.group_of(w, lexicon))
+    overlap = F.array_distinct(F.filter(groups, lambda g: g.isNotNull()))
+    lowered = F.transform("toks", lambda t: T.normalize_form(t["text"]))
+    return sents.select(
+        "doc_id", "sent_id", F.array_join(F.transform("toks", lambda t: t["text"]), " ").alias("sentence"),
+        lowered.alias("tokens"), overlap.alias("overlap"), "toks",
+    ).where(F.size("overlap") > 0)
 
 
 def token_rows(annotated: DataFrame) -> DataFrame:

@@ -122,19 +122,15 @@ def vocabulary_sizes(counts: DataFrame, everywhere: str = "*") -> DataFrame:
     return per_group.unionByName(joint)
 
 
-def counter_maps(counts: DataFrame, max_entries: int = 100_000) -> DataFrame:
-    """Counters as map columns, split by term hash into maps of about ``max_entries``.
+def counter_maps(counts: DataFrame, shards: int) -> DataFrame:
+    """Counters as map columns, a fixed number of ``shards`` by term hash for each (group, pos).
 
-    One map per (group, pos) would grow with the vocabulary.  The table of vocabulary
-    sizes has one row per (group, pos), which the lexicon bounds.
+    Choose ``shards`` so that a vocabulary divided by it fits in one row; for more than that,
+    use the counts in their long form.
     """
-    sizes = counts.groupBy("grp", "pos").agg(
-        F.ceil(F.count(F.lit(1)) / max_entries).alias("shards")
-    )
     entries = F.array_sort(F.collect_list(F.struct("term", "cnt")))
     return (
-        counts.join(F.broadcast(sizes), ["grp", "pos"])
-        .withColumn("shard", T.hash_number(F.col("term")) % F.col("shards"))
+        counts.withColumn("shard", T.hash_number(F.col("term")) % shards)
         .groupBy("grp", "pos", "shard")
         .agg(F.map_from_entries(entries).alias("counter"))
     )

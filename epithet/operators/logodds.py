@@ -40,15 +40,14 @@ def weighted_log_odds(
     has no finite log-odds and gets a null score.
 
     The per-term background is a window over (pos, term), at most one row per group.
-    Totals have one row per (group, pos), a size the lexicon bounds, so that side is
-    broadcast.
+    Totals have one row per (group, pos); the optimizer picks the join by their size.
     """
     if background not in ("all", "rest"):
         raise ValueError(f"background must be 'all' or 'rest', not {background!r}")
     counts = counts.where(F.col("pos").isin(*poses))
     everywhere = F.sum("cnt").over(Window.partitionBy("pos", "term"))
     rows = counts.withColumn("g_all", everywhere).where(F.col("cnt") >= min_count)
-    rows = rows.join(F.broadcast(group_totals(counts)), ["grp", "pos"])
+    rows = rows.join(group_totals(counts), ["grp", "pos"])
     c, n = F.col("cnt"), F.col("n")
     own = 0 if background == "all" else 1
     g = F.col("g_all") - own * c
@@ -74,7 +73,7 @@ def top_terms(scores: DataFrame, k: int = TOP_TERMS) -> DataFrame:
 
     The rank limit is applied per task before the shuffle (window group limit).
     """
-    gated = scores.join(F.broadcast(score_gate(scores)), ["grp", "pos"], "left").where(
+    gated = scores.join(score_gate(scores), ["grp", "pos"], "left").where(
         F.col("score") >= F.coalesce("gate", F.lit(0.0))
     )
     order = Window.partitionBy("grp", "pos").orderBy(F.desc("score"), "term")
@@ -112,7 +111,7 @@ def two_sided_log_odds(pairs: DataFrame, alpha: float = PRIOR) -> DataFrame:
     totals = pairs.groupBy("pos").agg(
         F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), F.count(F.lit(1)).alias("v")
     )
-    rows = pairs.join(F.broadcast(totals), "pos")
+    rows = pairs.join(totals, "pos")
     mass = alpha * F.col("v")
 
     def log_ratio(c: str, n: str) -> Column:
@@ -173,4 +172,4 @@ def target_pairs(counts: DataFrame, targets: Sequence[str]) -> DataFrame:
         F.sum(F.when(is_target, F.col("cnt")).otherwise(0)).alias("c1"),
         F.sum(F.when(is_target, 0).otherwise(F.col("cnt"))).alias("c2"),
     )
-    return pairs.join(F.broadcast(present), "pos", "left_semi")
+    return pairs.join(present, "pos", "left_semi")

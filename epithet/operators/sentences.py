@@ -37,7 +37,8 @@ def _explode(docs: DataFrame, sents: Column) -> DataFrame:
     return docs.select("doc_id", F.explode(sents).alias("s")).select("doc_id", "s.*")
 
 
-def split_sentences(docs: DataFrame, max_words: int = params.MAX_SENTENCE_WORDS) -> DataFrame:
+def split_sentences(docs: DataFrame, max_words: int | None = None) -> DataFrame:
+    """Sentences of each document; ``max_words`` drops longer ones, which stall parsers."""
     return _explode(docs, T.sentences(F.col("text"), max_words))
 
 
@@ -89,8 +90,8 @@ def keyword_sentences(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def sentence_budget(
     docs: DataFrame,
     lexicon: Lexicon,
-    max_filler: int = params.MAX_FILLER_SENTENCES,
-    max_total: int = params.MAX_DOC_SENTENCES,
+    max_filler: int,
+    max_total: int,
 ) -> DataFrame:
     """Every keyword sentence, plus the first filler sentences of the document.
 
@@ -110,12 +111,14 @@ def sentence_budget(
 def mention_sentences(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Sentences whose tokens overlap the lexicon.
 
-    ``overlap`` is the array of distinct terms in order of first occurrence.
+    Rows carry the sentence, its tokens and ``overlap``, the array of distinct terms in order of
+    first occurrence.
     """
     with_overlap = F.transform(
         _tokenized(F.col("text"), lexicon),
         lambda s: F.struct(
             s["sent_id"],
+            s["sentence"],
             s["tokens"],
             F.array_distinct(F.filter(s["tokens"], lambda t: T.is_term(t, lexicon))).alias("overlap"),
         ),

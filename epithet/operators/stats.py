@@ -133,7 +133,7 @@ def alignment_contrast(contrast: DataFrame) -> DataFrame:
     test = with_p(_one_sample(diffs, ["pos"], "diff")).select(
         "pos", F.col("t").alias("t_stat"), F.col("p").alias("p_value"), "n"
     )
-    return diffs.join(F.broadcast(test), "pos").select(
+    return diffs.join(test, "pos").select(
         "grp", "own_category", "pos", "sim_own", "sim_other", "diff", "t_stat", "p_value", "n"
     )
 

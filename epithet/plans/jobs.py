@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from epithet import params
 from epithet.operators import annotate, classify, counts, logodds, rules, sentences, similarity, stats
 from epithet.params import Lexicon, taxonomy_frame
+from epithet.plans.stages import settle
 from epithet.sources.tables import export_csv, read_table, replace_table, table_path
 
 Annotator = Callable[[DataFrame, Lexicon], DataFrame]
@@ -39,18 +39,20 @@ def modifiers_of(
     lexicon: Lexicon,
     feed: str = "syntactic",
     annotator: Annotator = annotate.surface_annotate,
-    model: PipelineModel | None = None,
+    model: classify.Classifier | None = None,
     unit: str = "sentence",
 ) -> DataFrame:
     """Modifier sets per unit and group of a document table.
 
-    With a model only sentences whose masked window it accepts are used.  The feed is
+    With a model (any function that adds ``prediction`` to masked windows) only sentences whose
+    window it accepts are used.  An annotator adds ``toks`` to mention sentences.  The feed is
     ``syntactic`` (annotated sentences) or ``window`` (words near the mention).
     """
     sents = sentences.mention_sentences(docs, lexicon)
     if model is not None:
-        windows = sentences.masked_window(sents, keep=("tokens", "overlap"))
-        sents = classify.accepted(classify.classify_windows(windows, model)).select(*sents.columns)
+        # Read twice by the model's join, so written once.
+        windows = settle(sentences.masked_window(sents, keep=("sentence", "tokens", "overlap")))
+        sents = classify.accepted(model(windows)).select(*sents.columns)
     if feed == "syntactic":
         found = rules.collect_modifiers(annotator(sents, lexicon))
     elif feed == "window":

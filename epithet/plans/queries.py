@@ -52,13 +52,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.spread(corpus.documents(_table(spark, sf, "documents")))
+    return corpus.documents(_table(spark, sf, "documents"))
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     turns = _table(spark, sf, "conversations")
     doc_id = F.concat_ws(":", "conv_id", "turn").alias("doc_id")
-    return corpus.spread(turns.select(doc_id, "text"))
+    return turns.select(doc_id, "text")
 
 
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +208,7 @@ def example_finder(spark, sf):
 
 @query
 def sentence_split(spark, sf):
-    return sentences.split_sentences(_docs(spark, sf))
+    return sentences.split_sentences(_docs(spark, sf), params.MAX_SENTENCE_WORDS)
 
 
 @query
@@ -232,7 +232,9 @@ def keyword_sentences(spark, sf):
 
 @query
 def sentence_budget(spark, sf):
-    return sentences.sentence_budget(_docs(spark, sf), LEX)
+    return sentences.sentence_budget(
+        _docs(spark, sf), LEX, params.MAX_FILLER_SENTENCES, params.MAX_DOC_SENTENCES
+    )
 
 
 @query
@@ -384,10 +386,10 @@ def edge_match(spark, sf):
 
 @query
 def window_classify(spark, sf):
-    """Accepted windows; the model is trained on the windows of labelled documents."""
+    """Accepted windows; the model is fitted to the windows of all labelled documents."""
     windows = settle(sentences.masked_window(_mentions(spark, sf)))
-    labels = _table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    model = classify.window_classifier().fit(windows.join(labels, "doc_id").select("window_text", "label"))
+    labels = _table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = classify.fit_windows(windows.join(labels, "doc_id"))
     return classify.accepted(classify.classify_windows(windows, model))
 
 
@@ -448,8 +450,8 @@ def vocab_size(spark, sf):
 
 @query
 def group_counters(spark, sf):
-    """Counter maps of about 100 terms, shown as sorted ``term:count`` lists."""
-    maps = counts.counter_maps(_counts(spark, sf), max_entries=100)
+    """Counter maps in eight shards, shown as sorted ``term:count`` lists."""
+    maps = counts.counter_maps(_counts(spark, sf), shards=8)
     shown = F.transform(
         F.array_sort(F.map_entries("counter")),
         lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")),

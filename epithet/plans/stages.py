@@ -12,19 +12,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: list[str] = []
-
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="epithet-stages-"))
-    return _local_root[0]
+    """The folder named by ``spark.checkpoint.dir``, which all executors must reach.
+
+    Where it is unset, a session whose executors are threads of this process sets its own.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="epithet-stages-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -53,18 +53,6 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(*wanted)
 
 
-def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Redistribute documents when the input has far fewer files than there are task slots.
-
-    A corpus of many files is left as it is: its splits already fill the cluster, and
-    moving raw text would cost more than it saves.
-    """
-    slots = docs.sparkSession.sparkContext.defaultParallelism
-    if len(docs.inputFiles()) * 4 > slots:
-        return docs
-    return docs.repartition(2 * slots, key)
-
-
 def read_lexicon(spark: SparkSession, path: str, column: str = "term") -> Lexicon:
     """Lexicon from a parquet table or a CSV file with a header."""
     table = (

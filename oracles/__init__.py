@@ -47,7 +47,7 @@ def sentence_ctes(p: str, source: str) -> dict[str, str]:
               SELECT doc_id, unnest(range(len(r))) AS sent_id, unnest(r) AS sentence FROM (
                 SELECT doc_id, regexp_extract_all(coalesce(text, ''), {text(SENTENCE_RUN)}) AS r
                 FROM {source}))
-            WHERE len(regexp_extract_all(sentence, {text(f'[{SPACE}]+')})) < {params.MAX_SENTENCE_WORDS}""",
+            """,
         f"{p}tok0": f"""
             SELECT doc_id, sent_id, unnest(range(len(w))) AS i, unnest(w) AS tok FROM (
               SELECT doc_id, sent_id, regexp_extract_all(lower(sentence), {text(WORD_RUN)}) AS w
@@ -451,4 +451,7 @@ def assemble(body: str) -> str:
     if not parts:
         return body
     keyword = "WITH RECURSIVE" if needed & RECURSIVE else "WITH"
-    return f"{keyword} " + ",\n".join(parts) + "\n" + body
+    # A statement with expressions of its own goes on from the shared ones.
+    own = body.lstrip()
+    joined = ",\n" + own.removeprefix("WITH ") if own.startswith("WITH ") else "\n" + body
+    return f"{keyword} " + ",\n".join(parts) + joined

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from epithet import params
+from epithet.functions.text import SPACE
 from epithet.params import TEST_LEXICON as LEX
 from oracles import (
     COMPASS,
@@ -134,7 +135,9 @@ STATEMENTS = {
         FROM (VALUES {", ".join(f"({text(t)})" for t in LEX.terms)}) AS t(term)
             LEFT JOIN documents d ON contains(lower(d.text), t.term) GROUP BY t.term""",
     # text preparation
-    "sentence_split": "SELECT doc_id, sent_id, sentence FROM sent",
+    "sentence_split": f"""
+        SELECT doc_id, sent_id, sentence FROM sent
+        WHERE len(regexp_extract_all(sentence, {text(f'[{SPACE}]+')})) < {params.MAX_SENTENCE_WORDS}""",
     "tokens": """
         SELECT s.doc_id, s.sent_id, coalesce(string_agg(t.tok, ' ' ORDER BY t.i), '') AS tokens,
             count(t.tok) AS n_tokens
@@ -244,6 +247,23 @@ STATEMENTS = {
         SELECT grp, count(*) AS n_mentions,
             count(*) FILTER (WHERE len(string_split(window_text, ' ')) >= 6) AS n_accepted
         FROM ({WINDOWS}) GROUP BY grp""",
+    "window_classify": f"""
+        WITH win AS ({WINDOWS}),
+        gram AS (
+          SELECT *, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+          FROM (SELECT *, list_filter(string_split(window_text, ' '), lambda x: x <> '') AS w FROM win)),
+        train AS (SELECT g, quality AS y FROM gram JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+        cnt AS (
+          SELECT gram, sum(y) AS c1, sum(1 - y) AS c0 FROM (SELECT unnest(g) AS gram, y FROM train) GROUP BY gram),
+        tot AS (SELECT sum(c1) AS n1, sum(c0) AS n0, count(*) AS v FROM cnt),
+        weight AS (
+          SELECT gram, ln((c1 + 1) / (n1 + v)) - ln((c0 + 1) / (n0 + v)) AS weight FROM cnt, tot),
+        bias AS (SELECT ln(sum(y) / sum(1 - y)) AS b FROM train),
+        score AS (
+          SELECT doc_id, sent_id, sum(weight) AS s FROM
+            (SELECT doc_id, sent_id, unnest(g) AS gram FROM gram) JOIN weight USING (gram) GROUP BY doc_id, sent_id)
+        SELECT doc_id, sent_id, grp, window_text FROM win LEFT JOIN score USING (doc_id, sent_id), bias
+        WHERE round(coalesce(s, 0) + b, 9) > 0""",
     # counts
     "doc_freq_counts": "SELECT grp, pos, term, count(DISTINCT doc_id) AS cnt FROM wx GROUP BY grp, pos, term",
     "upsert_counts": """
@@ -265,7 +285,7 @@ STATEMENTS = {
     "group_counters": """
         SELECT grp, pos, shard, string_agg(term || ':' || cnt, ' ' ORDER BY term) AS counter FROM (
           SELECT *, ('0x' || substr(md5(term), 1, 8))::BIGINT
-            % ceil(count(*) OVER (PARTITION BY grp, pos) / 100)::BIGINT AS shard FROM cc)
+            % 8 AS shard FROM cc)
         GROUP BY grp, pos, shard""",
     "taxonomy_join": """
         SELECT c.grp, t.category, t.region, c.pos, c.term, c.cnt FROM cc c LEFT JOIN tax t ON t.term = c.grp""",

@@ -86,7 +86,7 @@ def test_all_stages(spark, docs, tmp_path):
 def test_classifier_filters_sentences(spark, docs):
     windows = sentences.masked_window(sentences.mention_sentences(docs, LEX))
     labelled = windows.withColumn("label", F.contains("window_text", F.lit("lovely")).cast("double"))
-    model = classify.window_classifier(features=1 << 10).fit(labelled)
+    model = classify.fit_windows(labelled)
     classified = classify.classify_windows(windows, model)
     passed = classify.pass_counts(classified).agg(F.sum("n_mentions"), F.sum("n_accepted")).first()
     assert passed[0] == windows.count() and 0 < passed[1] < passed[0]

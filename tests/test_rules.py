@@ -157,3 +157,30 @@ def test_document_unit_joins_sentences(spark):
     df = spark.createDataFrame(rows, f"doc_id string, sent_id bigint, toks {TOKEN_TYPE}")
     (row,) = rules.fold_documents(rules.collect_modifiers(df, GROUPS)).collect()
     assert (row.grp, row.verbs) == ("thai", ["dance", "sing"])
+
+
+@pytest.mark.parametrize("feed", ["table", "parser"])
+def test_outside_parses_reach_the_modifier_job(spark, feed):
+    """Hand-parsed sentences as a token table, and through a parser function, through the job."""
+    from epithet.operators import annotate
+    from epithet.plans import jobs
+
+    by_name = {name: toks for name, _, toks in parses()}
+    rows = [(name, 0, *t) for name, toks in by_name.items() for t in toks]
+    fields = "i int, text string, lemma string, pos string, tag string, dep string, head int, ent string"
+    table = spark.createDataFrame(rows, f"doc_id string, sent_id bigint, {fields}")
+    texts = [(name, " ".join(t[1] for t in toks).rstrip(" .")) for name, toks in by_name.items()]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def parse(batches):
+        for pdf in batches:
+            pdf["toks"] = [[dict(zip(names, t)) for t in by_name[d]] for d in pdf.doc_id]
+            yield pdf
+
+    annotator = annotate.token_table_annotate(table) if feed == "table" else annotate.external_annotate(parse)
+    found = {r.doc_id: [r.nouns, r.verbs, r.adjs] for r in jobs.modifiers_of(docs, GROUPS, annotator=annotator).collect()}
+    whole = {n: e for n, e, toks in parses() if n in found}
+    assert len(whole) >= 10 and found == whole
+    direct = rules.collect_modifiers(annotate.parsed_sentences(table, GROUPS))
+    assert {r.doc_id: [r.nouns, r.verbs, r.adjs] for r in direct.collect()} == {n: e for n, e, _ in parses()}

@@ -150,6 +150,9 @@ def test_student_t_closed_forms(spark):
     assert got == pytest.approx([p for *_, p in cases], rel=1e-9)
     assert _log_tail(1.96, 1e7) == pytest.approx(math.log(0.0499958), rel=1e-4)
     assert _log_tail(100.0, 1000) < -700
+    for df in (1e12, 1e13, 1e15):  # the normal limit
+        for t in (0.5, 2.0, 6.0):
+            assert _log_tail(t, df) == pytest.approx(math.log(math.erfc(t / math.sqrt(2))), rel=1e-8)
     empty = spark.createDataFrame([(None, 3), (1.0, 0)], "t double, df int")
     assert [r[0] for r in empty.select(log_p_value(F.col("t"), F.col("df"))).collect()] == [None, None]
 
@@ -238,7 +241,7 @@ def test_clean_counts_and_maps(spark):
     cleaned = counts.clean_counts(rows, lex)
     got = {(r.pos, r.term): r.cnt for r in cleaned.collect()}
     assert got == {("adj", "lovely"): 5, ("verb", "eat"): 3, ("noun", "asian"): 3, ("noun", "kid"): 2}
-    maps = counts.counter_maps(cleaned, max_entries=1)
+    maps = counts.counter_maps(cleaned, shards=2)
     back = {(r.pos, r.term): r.cnt for r in counts.counter_rows(maps).collect()}
     assert back == got
     through = counts.parse_text_rows(counts.as_text_rows(rows))

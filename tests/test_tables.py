@@ -89,14 +89,3 @@ def test_lexicon_files(spark, tmp_path):
     assert corpus.read_lexicon(spark, str(tmp_path / "lex")).terms == ("thai",)
     (tmp_path / "lex.csv").write_text("term\nSri Lankan\n")
     assert corpus.read_lexicon(spark, str(tmp_path / "lex.csv")).terms == ("sri_lankan",)
-
-
-def test_spread_only_moves_thin_inputs(spark, tmp_path):
-    one = str(tmp_path / "one")
-    many = str(tmp_path / "many")
-    df = spark.range(100).select(F.col("id").alias("doc_id"))
-    df.coalesce(1).write.parquet(one)
-    df.repartition(16).write.parquet(many)
-    assert corpus.spread(spark.read.parquet(one)).rdd.getNumPartitions() == 16
-    kept = spark.read.parquet(many)
-    assert corpus.spread(kept) is kept

@@ -45,7 +45,7 @@ def test_sentences_match_a_plain_split(spark):
         "  lead. " + "w " * 120 + ". " + "w " * 121 + ". tail ",
         "a b. c\x85d!",
     ]
-    rows = sentences.split_sentences(docs(spark, *texts)).orderBy("doc_id", "sent_id").collect()
+    rows = sentences.split_sentences(docs(spark, *texts), 120).orderBy("doc_id", "sent_id").collect()
     got = {}
     for r in rows:
         got.setdefault(r.doc_id, []).append(r.sentence)
@@ -141,7 +141,7 @@ def test_lexicon_table_and_examples(spark):
 
 
 def test_external_annotator_plugs_in(spark):
-    sents = sentences.split_sentences(docs(spark, "Thai food. Other"))
+    sents = sentences.mention_sentences(docs(spark, "Thai food. Other Thai"), LEX)
 
     def parse(batches):
         for pdf in batches:
@@ -150,10 +150,30 @@ def test_external_annotator_plugs_in(spark):
                  for i, w in enumerate(s.split())]
                 for s in pdf.sentence
             ]
-            yield pdf[["doc_id", "sent_id", "toks"]]
-
-    rows = annotate.token_rows(annotate.external_annotate(sents, parse)).collect()
-    assert sorted(r.text for r in rows) == ["Other", "Thai", "food"]
+            yield pdf
+
+    annotated = annotate.external_annotate(parse)(sents, LEX)
+    assert set(sents.columns) < set(annotated.columns)
+    rows = annotate.token_rows(annotated).collect()
+    assert sorted(r.text for r in rows) == ["Other", "Thai", "Thai", "food"]
+
+
+def test_long_sentences_are_whole(spark):
+    """No sentence is too long: 5,000 words before a mention change nothing."""
+    long = docs(spark, "word " * 5000 + "the thai cook smiled")
+    (row,) = sentences.tokenize(long).collect()
+    assert len(row.tokens) == 5004
+    (mention,) = sentences.mention_sentences(long, LEX).collect()
+    assert mention.overlap == ["thai"] and len(mention.tokens) == 5004
+    assert sentences.mention_index(sentences.mention_sentences(long, LEX), LEX).first().i == 5001
+    assert sentences.split_sentences(long, 120).count() == 0
+
+
+def test_list_literals(spark):
+    texts = ["['a', None]", "['a',]", "['caf\\xe9']", "['x, None, y']", "nonsense"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = [r[0] for r in df.select(T.parse_list(F.col("c"))).collect()]
+    assert got == [["a", None], ["a"], ["café"], ["x, None, y"], []]
 
 
 def test_clean_lemmas_drop_stop_words_and_digits(spark):
