@@ -24,14 +24,16 @@ def has_direction(a: Column) -> Column:
     return F.exists(a, lambda x: x != 0) & ~F.exists(a, lambda x: F.isnan(x))
 
 
-def mean_pool(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """Mean vector per key.
+def mean_pool(
+    df: DataFrame, keys: Sequence[str], vector: str, weight: str | None = None
+) -> DataFrame:
+    """Mean vector per key; rows count by ``weight`` if given, so a mask of 0 and 1 leaves rows out.
 
     The mean is a partially aggregated vector summary, so a key that holds a large
     share of the rows costs one small buffer per task, not a gathered group.
     """
     as_vector = array_to_vector(F.col(vector).cast("array<double>"))
     pooled = df.where(F.col(vector).isNotNull()).groupBy(*keys).agg(
-        Summarizer.mean(as_vector).alias("_mean")
+        Summarizer.mean(as_vector, None if weight is None else F.col(weight)).alias("_mean")
     )
     return pooled.select(*keys, vector_to_array("_mean").alias(vector))

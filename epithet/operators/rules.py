@@ -7,6 +7,8 @@ entry per group; the only row multiplication is the final ``explode``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,23 +238,28 @@ def _plain_rule(x: Column, toks: Column) -> Column:
     return F.transform(kept, lambda t: T.clean_term(low(t["lemma"])))
 
 
-def collect_modifiers(annotated: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+KINDS = ("nouns", "verbs", "adjs")
+
+
+def collect_modifiers(
+    annotated: DataFrame, lexicon: Lexicon | None = None, kinds: Sequence[str] = KINDS
+) -> DataFrame:
     """(doc_id, sent_id, grp, nouns, verbs, adjs): distinct modifiers per sentence and group.
 
     Without a lexicon each sentence uses its own ``overlap`` terms (and their
-    plurals) as lexicon.
+    plurals) as lexicon.  Rules of kinds not asked for don't run; their lists are empty.
     """
     toks = F.col("toks")
     ctx = mention_context(annotated, lexicon).select("doc_id", "sent_id", "toks", "ms", *_overlap(lexicon))
 
     def with_candidates(m: Column) -> Column:
-        cands = F.filter(toks, lambda t: _may_be_adjective(t, m, toks, lexicon))
         none = F.slice(toks, 1, 0)
-        return F.struct(
-            m.alias("m"),
-            F.when(_stops(m), none).otherwise(cands).alias("cands"),
-            _copula_adjectives(m).alias("acomps"),
-        )
+        cands = none
+        if "adjs" in kinds:
+            possible = F.filter(toks, lambda t: _may_be_adjective(t, m, toks, lexicon))
+            cands = F.when(_stops(m), none).otherwise(possible)
+        acomps = none if tuple(kinds) == ("nouns",) else _copula_adjectives(m)
+        return F.struct(m.alias("m"), cands.alias("cands"), acomps.alias("acomps"))
 
     def with_followers(x: Column) -> Column:
         none = F.slice(toks, 1, 0)
@@ -267,13 +274,16 @@ def collect_modifiers(annotated: DataFrame, lexicon: Lexicon | None = None) -> D
 
     def collected(x: Column) -> Column:
         m = x["m"]
-        adjs = F.concat(_copula_adjective_rule(x), _hyphen_rule(x, toks), _plain_rule(x, toks))
-        return F.struct(
-            m["grp"].alias("grp"),
-            _noun_rules(m).alias("nouns"),
-            _verb_rules(x, toks).alias("verbs"),
-            adjs.alias("adjs"),
-        )
+        none = F.array().cast("array<string>")
+        found = {
+            "nouns": lambda: _noun_rules(m),
+            "verbs": lambda: _verb_rules(x, toks),
+            "adjs": lambda: F.concat(
+                _copula_adjective_rule(x), _hyphen_rule(x, toks), _plain_rule(x, toks)
+            ),
+        }
+        lists = [(found[k]() if k in kinds else none).alias(k) for k in KINDS]
+        return F.struct(m["grp"].alias("grp"), *lists)
 
     staged = ctx.select("*", F.transform("ms", with_candidates).alias("xs"))
     staged = staged.select("doc_id", "sent_id", "toks", F.transform("xs", with_followers).alias("xs"))

@@ -188,7 +188,7 @@ def masked_window(
     )
 
 
-def clean_lemmas(annotated: DataFrame, stop_words=params.FUNCTION_WORDS) -> DataFrame:
+def clean_lemmas(annotated: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """Lower-case lemmas of the alphabetic tokens that are not stop words."""
     kept = F.filter(
         "toks",

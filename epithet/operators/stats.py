@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from epithet.functions.quantiles import exact_quantiles
 from epithet.functions.student_t import log_p_value, p_text
@@ -56,9 +57,10 @@ def group_summary(regional: DataFrame) -> DataFrame:
 
 
 def group_order(sims: DataFrame) -> DataFrame:
-    """Groups by descending mean similarity within a pos, with their place."""
+    """Groups by descending mean similarity within a pos, with their place (ties by name)."""
     means = sims.groupBy("pos", "grp").agg(F.avg("cosine_sim").alias("mean_sim"))
-    return means.orderBy("pos", F.desc("mean_sim"), "grp")
+    place = F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("mean_sim"), "grp"))
+    return means.withColumn("place", place.cast("bigint"))
 
 
 def _report(stats: DataFrame, keys: Sequence[str]) -> DataFrame:

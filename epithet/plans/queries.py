@@ -254,7 +254,7 @@ def masked_window(spark, sf):
 
 @query
 def clean_lemmas(spark, sf):
-    out = sentences.clean_lemmas(_annotated(spark, sf))
+    out = sentences.clean_lemmas(_annotated(spark, sf), params.FUNCTION_WORDS)
     return out.select("doc_id", "sent_id", _joined("lemmas").alias("lemmas"))
 
 
@@ -287,7 +287,7 @@ QUERIES["annotate"] = QUERIES.pop("annotate_tokens")
 
 
 def _modifier_counts(spark, sf, column: str) -> DataFrame:
-    mods = _syntactic(spark, sf)
+    mods = rules.collect_modifiers(_annotated(spark, sf), kinds=(column,))
     return (
         mods.select("grp", F.explode(column).alias("term"))
         .groupBy("grp", "term")
@@ -432,6 +432,21 @@ def clean_counts(spark, sf):
     return _counts(spark, sf)
 
 
+@query
+def syntactic_counts(spark, sf):
+    """Clean counts of the syntactic collectors' modifiers."""
+    return counts.clean_counts(counts.modifier_rows(_syntactic(spark, sf)), LEX)
+
+
+@query
+def syntactic_log_odds(spark, sf):
+    """Log-odds of the syntactic counts; rarer terms are kept than in the window feed."""
+    scored = logodds.weighted_log_odds(
+        settle(syntactic_counts(spark, sf)), min_count=SIMILARITY_MIN_COUNT, poses=POSES
+    )
+    return _rounded(scored, 4, "score")
+
+
 @query
 def global_counts(spark, sf):
     return counts.global_counts(_counts(spark, sf))

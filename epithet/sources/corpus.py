@@ -35,12 +35,15 @@ def read_corpus(spark: SparkSession, path: str, partitions: int | None = None) -
     return docs.repartition(partitions, "doc_id") if partitions else docs
 
 
-def read_corpora(spark: SparkSession, paths: Sequence[str], glob: str = "*.jsonl.gz") -> DataFrame:
-    """Several folders as one table: columns united by name, unreadable files skipped."""
-    frames = [
-        spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", glob).json(p)
-        for p in paths
-    ]
+def read_corpora(
+    spark: SparkSession, paths: Sequence[str], glob: str = "*.jsonl.gz", schema: str | None = None
+) -> DataFrame:
+    """Several folders as one table: columns united by name, unreadable files skipped.
+
+    Give a ``schema`` for large folders; without one, Spark reads all data to infer it.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", glob)
+    frames = [(reader.schema(schema) if schema else reader).json(p) for p in paths]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)

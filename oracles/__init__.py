@@ -72,16 +72,20 @@ def sentence_ctes(p: str, source: str) -> dict[str, str]:
             WHERE pos <> 'adverb'""",
         f"{p}wunit": sets_per("doc_id, sent_id, grp", f"{p}wx"),
         f"{p}wrows": rows_of(f"{p}wunit"),
-        f"{p}cc": f"""
-            SELECT grp, pos, term, CAST(sum(cnt) AS BIGINT) AS cnt FROM (
-              SELECT replace(grp, '_', ' ') AS grp, 'adj' AS pos, unnest(adjs) AS term, cnt FROM {p}wrows
-              UNION ALL SELECT replace(grp, '_', ' '), 'verb', unnest(verbs), cnt FROM {p}wrows
-              UNION ALL SELECT replace(grp, '_', ' '), 'noun', unnest(nouns), cnt FROM {p}wrows)
-            WHERE pos = 'noun' OR NOT ({dropped_term()})
-            GROUP BY ALL""",
+        f"{p}cc": counts_of(f"{p}wrows"),
     }
 
 
+def counts_of(rows: str) -> str:
+    return f"""
+        SELECT grp, pos, term, CAST(sum(cnt) AS BIGINT) AS cnt FROM (
+          SELECT replace(grp, '_', ' ') AS grp, 'adj' AS pos, unnest(adjs) AS term, cnt FROM {rows}
+          UNION ALL SELECT replace(grp, '_', ' '), 'verb', unnest(verbs), cnt FROM {rows}
+          UNION ALL SELECT replace(grp, '_', ' '), 'noun', unnest(nouns), cnt FROM {rows})
+        WHERE pos = 'noun' OR NOT ({dropped_term()})
+        GROUP BY ALL"""
+
+
 def word_class(w: str) -> str:
     return f"""CASE WHEN length({w}) > 4 AND (suffix({w}, 'ing') OR suffix({w}, 'ed')) THEN 'verb'
         WHEN length({w}) > 3 AND suffix({w}, 'ly') THEN 'adverb'
@@ -293,7 +297,7 @@ TAX = "(VALUES " + ", ".join(
 ) + ") AS tax(term, category, region)"
 
 
-def score_cte(background: str, min_count: int) -> str:
+def score_cte(background: str, min_count: int, source: str = "cc") -> str:
     own = 0 if background == "all" else 1
     a = 0.01
     return f"""
@@ -305,7 +309,7 @@ def score_cte(background: str, min_count: int) -> str:
               FROM (SELECT c.*, sum(cnt) OVER (PARTITION BY pos, term)::DOUBLE - {own} * cnt AS g,
                         sum(cnt) OVER (PARTITION BY grp, pos)::DOUBLE AS n,
                         sum(cnt) OVER (PARTITION BY pos)::DOUBLE - {own} * sum(cnt) OVER (PARTITION BY grp, pos) AS nb
-                    FROM cc c))
+                    FROM {source} c))
         WHERE cnt >= {min_count}"""
 
 
@@ -340,6 +344,9 @@ SCORES = {
     "sc": score_cte("all", 5),
     "sc_rest": score_cte("rest", 5),
     "sc2": score_cte("all", 2),
+    "srows": rows_of("unit"),
+    "scc": counts_of("srows"),
+    "ssc": score_cte("all", 2, "scc"),
     "top": top_cte("sc"),
     "top2": top_cte("sc2"),
     "emb": "SELECT vec_id, label, embedding::DOUBLE[] AS vec FROM embeddings",

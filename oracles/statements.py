@@ -289,7 +289,9 @@ STATEMENTS = {
         GROUP BY grp, pos, shard""",
     "taxonomy_join": """
         SELECT c.grp, t.category, t.region, c.pos, c.term, c.cnt FROM cc c LEFT JOIN tax t ON t.term = c.grp""",
+    "syntactic_counts": "SELECT grp, pos, term, cnt FROM scc",
     # log-odds
+    "syntactic_log_odds": "SELECT grp, pos, term, cnt, round(score, 4) AS score FROM ssc",
     "weighted_log_odds": "SELECT grp, pos, term, cnt, round(score, 4) AS score FROM sc",
     "rest_log_odds": "SELECT grp, pos, term, cnt, round(score, 4) AS score FROM sc_rest",
     "top_log_odds": "SELECT grp, pos, term, cnt, round(score, 4) AS score, rank FROM top",
@@ -333,7 +335,9 @@ STATEMENTS = {
     "group_sim_agg": """
         SELECT grp, region, pos, round(mean_sim, 6) AS mean_sim, round(sd_sim, 6) AS sd_sim, n_terms FROM gsum""",
     "group_order": """
-        SELECT pos, grp, round(avg(cosine_sim), 6) AS mean_sim FROM regional GROUP BY pos, grp""",
+        SELECT pos, grp, round(avg(cosine_sim), 6) AS mean_sim,
+            row_number() OVER (PARTITION BY pos ORDER BY avg(cosine_sim) DESC, grp) AS place
+        FROM regional GROUP BY pos, grp""",
     "region_stats": one_sample("region, pos", "cosine_sim", "(SELECT * FROM regional WHERE region IS NOT NULL)"),
     "region_group_stats": one_sample("region, pos", "mean_sim", "gsum", least=2),
     "global_group_stats": one_sample("pos", "mean_sim", "gsum"),

@@ -4,6 +4,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from epithet import params
 from epithet.functions import text as T
 from epithet.operators import annotate, sentences, tagging
 from epithet.params import Lexicon
@@ -178,5 +179,5 @@ def test_list_literals(spark):
 
 def test_clean_lemmas_drop_stop_words_and_digits(spark):
     sents = sentences.mention_sentences(docs(spark, "the thai was cooking 3 dishes"), LEX)
-    (row,) = sentences.clean_lemmas(annotate.surface_annotate(sents, LEX)).collect()
+    (row,) = sentences.clean_lemmas(annotate.surface_annotate(sents, LEX), params.FUNCTION_WORDS).collect()
     assert row.lemmas == ["thai", "cook", "dishes"]
