@@ -21,9 +21,6 @@ SENTENCE_RUN = f"[^.!?{SPACE}](?:[^.!?]*[^.!?{SPACE}])?"
 WORD_RUN = r"[\p{L}\p{N}_]+"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
-# Brackets put around a matched multiword term while it is being joined.
-_OPEN, _CLOSE = "\u0001", "\u0002"
-
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -54,25 +51,50 @@ def words(text: Column) -> Column:
 
 
 def merge_terms(tokens: Column, lexicon: Lexicon) -> Column:
-    """Join neighbouring tokens that spell a multiword term (leftmost, then longest)."""
+    """Join neighbouring tokens that spell a multiword term (leftmost, then longest).
+
+    At each token that may begin a term, the runs of every length that terms have are looked up in
+    hashed sets, so the cost grows with the longest term and not with the number of terms.
+    """
     if not lexicon.multiword:
         return tokens
     heads = sorted({t.split("_")[0] for t in lexicon.multiword})
-    spelled = "|".join(re.escape(t.replace("_", " ")) for t in lexicon.multiword)
-    marked = F.regexp_replace(
-        F.array_join(tokens, " "), f"(?<![^ ])({spelled})(?![^ ])", f"{_OPEN}$1{_CLOSE}"
+    by_size: dict[int, list[str]] = {}
+    for term in lexicon.multiword:
+        by_size.setdefault(term.count("_") + 1, []).append(term)
+
+    def run(i: Column, k: Column | int) -> Column:
+        return F.array_join(F.slice(tokens, i + 1, k), "_")
+
+    def longest(i: Column) -> Column:
+        sizes = sorted(by_size, reverse=True)
+        found = F.when(run(i, sizes[0]).isin(by_size[sizes[0]]), F.lit(sizes[0]))
+        for k in sizes[1:]:
+            found = found.when(run(i, k).isin(by_size[k]), F.lit(k))
+        return found
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i).isin(heads))
+    hits = F.filter(
+        F.transform(starts, lambda i: F.struct(i.alias("i"), longest(i).alias("k"))),
+        lambda h: h["k"].isNotNull(),
     )
-    inside = F.transform(
-        F.split(marked, _OPEN),
-        lambda part: F.when(
-            F.contains(part, F.lit(_CLOSE)),
-            F.concat(
-                F.translate(F.split_part(part, F.lit(_CLOSE), F.lit(1)), " ", "_"),
-                F.split_part(part, F.lit(_CLOSE), F.lit(2)),
-            ),
-        ).otherwise(part),
+    end = lambda h: h["i"] + h["k"]
+    taken = F.aggregate(
+        hits,
+        F.array().cast("array<struct<i:int,k:int>>"),
+        lambda got, h: F.when(end(F.try_element_at(got, F.lit(-1))) > h["i"], got).otherwise(F.array_append(got, h)),
     )
-    merged = F.split(F.array_join(inside, ""), " ")
+
+    def joined(spans: Column) -> Column:
+        def piece(h: Column, r: Column) -> Column:
+            begin = F.coalesce(end(F.get(spans, r - 1)), F.lit(0))
+            return F.concat(F.slice(tokens, begin + 1, h["i"] - begin), F.array(run(h["i"], h["k"])))
+
+        last = end(F.element_at(spans, -1))
+        rest = F.slice(tokens, last + 1, F.size(tokens) - last)
+        return F.when(F.size(spans) == 0, tokens).otherwise(F.concat(F.flatten(F.transform(spans, piece)), rest))
+
+    merged = F.transform(F.array(taken), joined)[0]
     return F.when(F.exists(tokens, lambda t: t.isin(heads)), merged).otherwise(tokens)
 
 
