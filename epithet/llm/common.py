@@ -5,8 +5,10 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +81,13 @@ def remainder5(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string")) % 5
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task makes of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 # --- hashes inside Arrow batches -------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epithet.llm.common import Shared, mix, shingle_set, stage
+from epithet.llm.common import Shared, in_slices, mix, shingle_set, stage
 
 SHINGLE = 5
 # Two sets link when PER * overlap >= SHARE * union.
@@ -59,7 +59,7 @@ def _scan_sets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "key", "block", "counts"],
             )
 
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, n, keys = batch["doc_id"], [], []
             for text in batch["text"]:
                 grams = shingle_set((text.as_py() or "").encode(), SHINGLE)
@@ -113,7 +113,7 @@ def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         low = np.uint64((1 << SKETCH_BITS) - 1)
-        for batch in batches:
+        for batch in in_slices(batches):
             parts: list[tuple] = []
             for text in batch["text"]:
                 grams = shingle_set((text.as_py() or "").encode(), SHINGLE)
@@ -146,18 +146,27 @@ def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 def _columns(entries: DataFrame) -> DataFrame:
-    """Entries of the columns with two rows or more, with the column's size and most central row."""
+    """Entries of the columns with two rows or more, with the column's size and most central row.
+
+    A hot column is dealt to 64 tasks; what each has found of it, one row, is put together after.
+    """
     leader = F.max(F.struct("central", "key", "n", "place"))
-    same = ("gram", "hot", "key", "n", "place", "central")
-    cold = entries.where("not hot").repartition("gram").dropDuplicates(["gram", "key"])
-    column = Window.partitionBy("gram")
-    cold = cold.withColumns({"size": F.count("*").over(column), "leader": leader.over(column)})
-    # Few distinct columns are hot: their sums shrink before the shuffle, and the join may split them.
-    hot = entries.where("hot").dropDuplicates(["gram", "key"])
-    led = hot.groupBy("gram").agg(F.count("*").alias("size"), leader.alias("leader"))
-    hot = hot.join(led, "gram")
-    every = cold.select(*same, "size", "leader").union(hot.select(*same, "size", "leader"))
-    return every.where("size > 1").drop("hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(0)
+    dealt = entries.withColumn("salt", salt).repartition("gram", "salt").dropDuplicates(["gram", "salt", "key"])
+    part = Window.partitionBy("gram", "salt")
+    parts = dealt.withColumns({"size": F.count("*").over(part), "leader": leader.over(part)})
+    found = stage(parts.where("size > 1 or hot"), "join-columns")
+    names = ("gram", "key", "n", "place", "central", "size", "leader")
+    whole = (
+        found.where("hot")
+        .groupBy("gram", "salt")
+        .agg(F.first("size").alias("size"), F.first("leader").alias("leader"))
+        .groupBy("gram")
+        .agg(F.sum("size").alias("size"), F.max("leader").alias("leader"))
+        .where("size > 1")
+    )
+    hot = found.where("hot").drop("size", "leader").join(whole, "gram")
+    return found.where("not hot").select(*names).union(hot.select(*names))
 
 
 def _may_link(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
@@ -196,38 +205,42 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, grams) of the wanted classes, from one document of each.
+    """(key, grams) of the wanted classes, from one document of each, and of few others.
 
-    A bit filter of fixed size over the ids of these documents goes to the tasks, so that few other
-    texts are read into n-grams; the join after it is exact.
+    A bit filter of fixed size over the ids of these documents goes to the tasks.  Sets beyond those
+    wanted, or more than once, do no harm: the joins that follow don't ask for them, or find a link
+    twice.
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     ids = classes.join(wanted, "key").select(bit.alias("bit"))
     word = F.shiftright("bit", 6).alias("word")
     one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     data = np.zeros(FILTER_BITS // 64, np.uint64)
-    for row in ids.groupBy(word).agg(F.bit_or(one).alias("bits")).toLocalIterator():
-        data[row["word"]] = np.uint64(row["bits"] & (1 << 64) - 1)
+    words = ids.groupBy(word).agg(F.bit_or(one).alias("bits")).toArrow()  # one row per 64 bits at most
+    data[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     shared = Shared(docs.sparkSession, data)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches):
             bits = batch["bit"].to_numpy()
             held = shared.value[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)
             keys, grams = [], []
             for i in np.flatnonzero(held).tolist():
                 found = shingle_set((batch["text"][i].as_py() or "").encode(), SHINGLE)
-                if len(found) and (key := set_key(found)) not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    grams.append(found.tobytes())
+                keys.append(set_key(found))
+                grams.append(found.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], ["key", "grams"]
             )
 
-    found = docs.select(bit.alias("bit"), "text").mapInArrow(read, "key bigint, grams binary")
-    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
+    return docs.select(bit.alias("bit"), "text").mapInArrow(read, "key bigint, grams binary")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that link; only the sets of rows in some pair are read and moved."""
+    pairs = stage(pairs, "join-pairs")
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "join-wanted")
+    return stage(_verify(pairs, stage(_sets(docs, wanted, classes), "join-sets")), "join-linked")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -313,13 +326,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = stage(
         rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "join-classes"
     )
-    columns = stage(_columns(stage(_entries(docs, _sketch(scanned)), "join-entries")), "join-columns")
-    wanted = stage(columns.select("key").distinct(), "join-wanted")
-    sets = stage(_sets(docs, wanted, classes), "join-sets")
-    nodes = stage(wanted.select("key", F.col("key").alias("label")), "join-nodes")
-    star = stage(_verify(_first_round(columns), sets), "join-star")
+    columns = _columns(_entries(docs, _sketch(scanned)))
+    nodes = stage(columns.select("key", F.col("key").alias("label")).distinct(), "join-nodes")
+    star = _linked(_first_round(columns), docs, classes)
     labels = stage(components(star, nodes), "join-first")
-    more = stage(_verify(_second_round(columns, labels), sets), "join-more")
+    more = _linked(_second_round(columns, labels), docs, classes)
     final = components(star.union(more), nodes)
     # A component's name is the smallest id of its classes.
     names = classes.join(final, "key", "left").select(
