@@ -117,7 +117,7 @@ def token_frequency(urls: DataFrame, rules: Sequence[Rule], col: str = "url") ->
     tokens = urls.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("([a-z0-9]+)")))).alias("token")
     )
-    counts = tokens.join(names, "token", "left_semi").groupBy("token").count()
+    counts = tokens.groupBy("token").count().join(names, "token", "left_semi")
     return {r["token"]: r["count"] for r in counts.collect()}
 
 
