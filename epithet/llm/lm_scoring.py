@@ -27,8 +27,8 @@ MAX_BITS = 1 << 29  # bound of the broadcast filter; beyond it levels are read t
 BITS_PER_ENTRY, PROBES, BASE = 10, 4, 1.5
 MIN_BIGRAM = 2  # a bigram seen once says no more than its words: it is left to the unigrams
 BIGRAM_WEIGHT = 0.3
-FLUSH = 1 << 22  # tokens that a task holds before it hands on their counts
-SLICE = 1 << 20
+FLUSH = 1 << 21  # tokens that a task holds before it hands on their counts
+SLICE = 1 << 18
 END = np.uint64(0x5851F42D4C957F2D)  # stands before the first word and after the last
 _LOW40 = np.uint64((1 << 40) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
