@@ -154,8 +154,18 @@ def _columns(entries: DataFrame) -> DataFrame:
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(0)
     dealt = entries.withColumn("salt", salt).repartition("gram", "salt").dropDuplicates(["gram", "salt", "key"])
     part = Window.partitionBy("gram", "salt")
-    parts = dealt.withColumns({"size": F.count("*").over(part), "leader": leader.over(part)})
-    found = stage(parts.where("size > 1 or hot"), "join-columns")
+    parts = dealt.withColumns(
+        {
+            "size": F.count("*").over(part),
+            "leader": leader.over(part),
+            "other_n": F.sum("n").over(part) - F.col("n"),
+            "other_place": F.sum("place").over(part) - F.col("place"),
+        }
+    )
+    # Most columns have two rows, which are checked against each other at once.
+    two = (F.col("size") == 2) & _may_link(*map(F.col, ("n", "place", "other_n", "other_place")))
+    found = parts.where(F.col("hot") | two | (F.col("size") > 2)).drop("other_n", "other_place")
+    found = stage(found, "join-columns")
     names = ("gram", "key", "n", "place", "central", "size", "leader")
     whole = (
         found.where("hot")
