@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epithet.llm.common import Shared, in_slices, mix, shingle_set, stage
+from epithet.llm.common import Shared, discard, in_slices, mix, shingle_set, stage
 
 SHINGLE = 5
 # Two sets link when PER * overlap >= SHARE * union.
@@ -250,7 +250,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that link; only the sets of rows in some pair are read and moved."""
     pairs = stage(pairs, "join-pairs")
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "join-wanted")
-    return stage(_verify(pairs, stage(_sets(docs, wanted, classes), "join-sets")), "join-linked")
+    sets = stage(_sets(docs, wanted, classes), "join-sets")
+    linked = stage(_verify(pairs, sets), "join-linked")
+    discard(sets)
+    return linked
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
