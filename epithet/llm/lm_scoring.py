@@ -2,11 +2,12 @@
 
 A count c is stored as its quantised level 1 + floor(log c) to base 1.5: the filter holds the pairs
 (n-gram, 1) up to (n-gram, level), and probing level after level until one is missing reads it
-back.  The filter lies in segments, one per bucket of n-grams, which the reducers fill; it goes to
-the workers and gives interpolated bigram probabilities.
+back.  The filter lies in segments, one per bucket of n-grams, with a fixed number of bits for each
+entry, so it grows with the corpus.  No task holds more than one segment: texts go in chunks, the
+distinct n-grams of a chunk go to their buckets once, to be counted and then probed, and what the
+buckets reply meets the chunk's texts again.  The levels give interpolated bigram probabilities.
 
-The base score uses exact word counts.  The commonest words, at most ``HEAD`` of them, go to every
-task; the others are joined.
+The base score uses exact word counts, which come with the replies.
 """
 
 from __future__ import annotations
@@ -16,18 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epithet.llm.common import Shared, mix, remainder5, stage, word_hashes
+from epithet.llm.common import mix, remainder5, stage, word_hashes
 
-HEAD = 1 << 20
-MAX_BITS = 1 << 29  # bound of the broadcast filter; beyond it levels are read too high more often
+HEAD = 1 << 20  # unused: exact counts of all words come with the replies
+ROW_BITS = 1 << 33  # what one row can hold; a segment that needs more is an error
 BITS_PER_ENTRY, PROBES, BASE = 10, 4, 1.5
 MIN_BIGRAM = 2  # a bigram seen once says no more than its words: it is left to the unigrams
 BIGRAM_WEIGHT = 0.3
-FLUSH = 1 << 21  # tokens that a task holds before it hands on their counts
+FLUSH = 12 << 20  # bytes of text in a chunk, and the rest of its last text
 SLICE = 1 << 18
 END = np.uint64(0x5851F42D4C957F2D)  # stands before the first word and after the last
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -63,10 +65,12 @@ def _places(keys: np.ndarray, level: int, bits: np.ndarray) -> np.ndarray:
     return (first[None, :] + steps * second[None, :]) % bits.astype(np.uint64)
 
 
-def fill_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
+def fill_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int = ROW_BITS) -> bytes:
     """A bucket's segment: all levels of its n-grams."""
     levels = levels_of(counts) if len(counts) else np.zeros(0, np.int64)
-    bits = int(min(max(64, BITS_PER_ENTRY * int(levels.sum())), most_bits)) // 8 * 8
+    bits = max(64, BITS_PER_ENTRY * int(levels.sum())) // 8 * 8
+    if bits > most_bits:
+        raise ValueError(f"a segment of {bits} bits: raise spark.sql.shuffle.partitions")
     segment = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         held = keys[levels >= level]
@@ -76,47 +80,48 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> bytes:
 
 @dataclass(frozen=True)
 class CountFilter:
-    """Segments of all buckets, one after another."""
+    """Segments of buckets, one after another."""
 
     data: np.ndarray
     starts: np.ndarray  # first bit of each bucket's segment
     bits: np.ndarray
+    top: int = 1 << 10  # the largest level stored, where it is known
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts, 0 for n-grams that the filter doesn't hold."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels read back, 0 for n-grams that the filter doesn't hold."""
         bucket = ((keys >> np.uint64(40)) % np.uint64(len(self.bits))).astype(np.int64)
         low, bits, starts = keys & _LOW40, self.bits[bucket], self.starts[bucket]
         levels = np.zeros(len(keys), np.int64)
         at, level = np.flatnonzero(bits > 0), 1
-        while len(at):
+        while len(at) and level <= self.top:
             places = _places(low[at], level, bits[at]).astype(np.int64) + starts[at]
             held = (self.data[places >> 3] >> (places & 7).astype(np.uint8) & 1).all(axis=0)
             at = at[held]
             levels[at] = level
             level += 1
-        return count_of(levels)
+        return levels
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return count_of(self.levels(keys))
+
+
+def one_segment(keys: np.ndarray, counts: np.ndarray) -> CountFilter:
+    """The filter of one bucket."""
+    data = np.frombuffer(fill_segment(keys, counts), np.uint8)
+    top = int(levels_of(counts).max()) if len(counts) else 0
+    return CountFilter(data, np.zeros(1, np.int64), np.array([8 * len(data)]), top)
 
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: corpus sizes, exact counts of the commonest words, the filter."""
+    """Corpus sizes: tokens and distinct words of all training texts."""
 
     n_tokens: int
     n_distinct: int
-    head: np.ndarray
-    head_counts: np.ndarray
-    filter: CountFilter
 
     def log_base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.n_tokens + 0.5 * (self.n_distinct + 1)))
 
-    def head_count(self, words: np.ndarray) -> np.ndarray:
-        """Exact counts, -1 for words outside the head."""
-        if not len(self.head):
-            return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
-        return np.where(self.head[at] == words, self.head_counts[at], -1)
-
 
 def _pack40(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -128,242 +133,258 @@ def _unpack40(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _counted(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with the sums of their counts."""
-    every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    if counts is None:
-        return np.unique(every, return_counts=True)
-    distinct, place = np.unique(every, return_inverse=True)
-    weights = np.concatenate(counts) if counts else np.zeros(0)
-    return distinct, np.bincount(place, weights=weights, minlength=len(distinct)).astype(np.int64)
-
-
-def _partial_counts(training: DataFrame, buckets: int) -> DataFrame:
-    """Counts of each task as packed arrays, a row for each bucket of n-grams."""
-    schema = pa.schema(
-        [("bucket", pa.int32()), *[(n, pa.binary()) for n in ("words", "word_counts", "pairs", "pair_counts")]]
-    )
-
-    def flush(words: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
-        rows: dict[str, list] = {n: [] for n in schema.names}
+def _sum(keys: np.ndarray) -> int:
+    """A check that both passes over a chunk have met the same n-grams."""
+    return int((keys & _LOW40).sum(dtype=np.uint64))
+
+
+def _by_bucket(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by bucket, and where each bucket ends."""
+    bucket = (distinct >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of a task's rows with the number of their chunk; the same for the same rows in order."""
+    number, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        for i, size in enumerate(sizes.tolist()):
+            held += size + 1
+            if held >= FLUSH:
+                yield number, batch.slice(start, i + 1 - start)
+                number, held, start = number + 1, 0, i + 1
+        if start < batch.num_rows:
+            yield number, batch.slice(start)
+
+
+_PARTIAL = pa.schema(
+    [("bucket", pa.int32()), ("chunk", pa.int64()), ("asked", pa.bool_())]
+    + [(n, pa.binary()) for n in ("words", "word_counts", "pairs", "pair_counts")]
+)
+_REPLY = pa.schema(
+    [("bucket", pa.int32()), ("chunk", pa.int64()), ("check", pa.int64())]
+    + [(n, pa.binary()) for n in ("exact", "word_levels", "pair_levels")]
+    + [("tokens", pa.int64()), ("distinct", pa.int64())]
+)
+_PARTIAL_SQL = "bucket int, chunk bigint, asked boolean, words binary, word_counts binary, pairs binary, pair_counts binary"
+_REPLY_SQL = (
+    "bucket int, chunk bigint, `check` bigint, exact binary, word_levels binary, pair_levels binary, "
+    "tokens bigint, distinct bigint"
+)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _partial_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """Distinct n-grams of each chunk as packed arrays, with their counts in its training texts."""
+
+    def flush(chunk: int, texts: list[np.ndarray], trained: list[bool], asked: bool) -> pa.RecordBatch:
+        tokens = np.concatenate(texts)
+        pairs = np.concatenate([bigrams_of(t) for t in texts])
+        counted = np.repeat(np.array(trained, bool), [len(t) for t in texts])
         parts = []
-        for keys in (words, pairs):
-            distinct, counts = _counted(keys)
-            bucket = (distinct >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            parts.append((distinct[order], counts[order].astype("<u4"), ends))
-        for b in range(buckets):
-            (w, wn, we), (p, pn, pe) = parts
-            rows["bucket"].append(b)
-            rows["words"].append(w[we[b] : we[b + 1]].astype("<u8").tobytes())
-            rows["word_counts"].append(wn[we[b] : we[b + 1]].tobytes())
-            rows["pairs"].append(_pack40(p[pe[b] : pe[b + 1]]))
-            rows["pair_counts"].append(pn[pe[b] : pe[b + 1]].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+        for keys in (tokens, pairs):
+            distinct, place = np.unique(keys, return_inverse=True)
+            counts = np.bincount(place[counted], minlength=len(distinct)).astype("<u4")
+            order, ends = _by_bucket(distinct, buckets)
+            parts.append((distinct[order], counts[order], ends))
+        (w, wn, we), (p, pn, pe) = parts
+        out = [
+            (
+                b, chunk, asked,
+                w[we[b] : we[b + 1]].astype("<u8").tobytes(), wn[we[b] : we[b + 1]].tobytes(),
+                _pack40(p[pe[b] : pe[b + 1]]), pn[pe[b] : pe[b + 1]].tobytes(),
+            )
+            for b in range(buckets)
+            if we[b] < we[b + 1] or pe[b] < pe[b + 1]
+        ]
+        return _table(out, _PARTIAL)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, held = [], [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                tokens = tokens_of(text.as_py())
-                words.append(tokens)
-                pairs.append(bigrams_of(tokens))
-                held += len(tokens)
-                if held >= FLUSH:
-                    yield flush(words, pairs)
-                    words, pairs, held = [], [], 0
-        if held:
-            yield flush(words, pairs)
-
-    return training.select("text").mapInArrow(
-        count, "bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
-    )
-
+        chunk, texts, trained, asked = None, [], [], False
+        for number, batch in _chunks(batches):
+            if texts and number != chunk:
+                yield flush(chunk, texts, trained, asked)
+                texts, trained, asked = [], [], False
+            chunk = number
+            texts += [tokens_of(t.as_py()) for t in batch["text"]]
+            trained += batch["trained"].to_pylist()
+            asked |= any(batch["asked"].to_pylist())
+        if texts:
+            yield flush(chunk, texts, trained, asked)
+
+    return rows.mapInArrow(count, _PARTIAL_SQL)
+
+
+def _replies(partial: DataFrame, buckets: int) -> DataFrame:
+    """What each bucket answers each chunk, and a row without chunk with the bucket's sizes.
+
+    A bucket sums the counts of its n-grams, fills its segment and probes it with all of them.  The
+    words of a chunk get their exact counts and levels, its bigrams their levels.
+    """
 
-def _merged_counts(partial: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket: exact word counts, and the filter segment of its words and bigrams."""
-    most_bits = max(64, MAX_BITS // buckets)
+    def answer(bucket: int, held: list[list]) -> Iterator[pa.RecordBatch]:
+        def summed(keys: list[np.ndarray], i: int) -> tuple[np.ndarray, ...]:
+            every, ends = np.concatenate(keys), np.cumsum([0, *map(len, keys)])
+            distinct, place = np.unique(every, return_inverse=True)
+            weights = np.concatenate([np.frombuffer(h[i], "<u4") for h in held])
+            return distinct, place, ends, np.bincount(place, weights, len(distinct)).astype(np.int64)
+
+        asked_words = [np.frombuffer(h[2], "<u8") for h in held]
+        asked_pairs = [_unpack40(h[4]) for h in held]
+        words, word_place, word_ends, counts = summed(asked_words, 3)
+        pairs, pair_place, pair_ends, pair_counts = summed(asked_pairs, 5)
+        known, often = counts > 0, pair_counts >= MIN_BIGRAM
+        segment = one_segment(
+            np.concatenate((words[known] & _LOW40, pairs[often])), np.concatenate((counts[known], pair_counts[often]))
+        )
+        word_levels = segment.levels(words & _LOW40).astype(np.uint8)
+        pair_levels = segment.levels(pairs).astype(np.uint8)
+        yield _table([(bucket, None, None, None, None, None, int(counts.sum()), int(known.sum()))], _REPLY)
+        for i, (chunk, asked, *_) in enumerate(held):
+            if asked:
+                w = word_place[word_ends[i] : word_ends[i + 1]]
+                p = pair_place[pair_ends[i] : pair_ends[i + 1]]
+                check = (_sum(asked_words[i]) + _sum(asked_pairs[i])) % (1 << 62)
+                exact = counts[w].astype("<u8").tobytes()
+                row = (bucket, chunk, check, exact, word_levels[w].tobytes(), pair_levels[p].tobytes(), None, None)
+                yield _table([row], _REPLY)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
-
-        def done() -> pa.RecordBatch:
-            read = lambda i, kind: [np.frombuffer(h[i], kind) for h in held]
-            words, counts = _counted(read(0, "<u8"), read(1, "<u4"))
-            pairs, pair_counts = _counted([_unpack40(h[2]) for h in held], read(3, "<u4"))
-            often = pair_counts >= MIN_BIGRAM
-            keys = np.concatenate((words & _LOW40, pairs[often]))
-            segment = fill_segment(keys, np.concatenate((counts, pair_counts[often])), most_bits)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([bucket], pa.int32()),
-                    pa.array([segment], pa.binary()),
-                    pa.array([words.view(np.int64)], pa.list_(pa.int64())),
-                    pa.array([counts], pa.list_(pa.int64())),
-                ],
-                ["bucket", "segment", "words", "counts"],
-            )
-
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                if bucket is not None and row[0].as_py() != bucket:
-                    yield done()
+                if held and row[0].as_py() != bucket:
+                    yield from answer(bucket, held)
                     held = []
                 bucket = row[0].as_py()
                 held.append([x.as_py() for x in row[1:]])
         if held:
-            yield done()
-
-    placed = partial.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(merge, "bucket int, segment binary, words array<bigint>, counts array<bigint>")
-
-
-def train(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the exact counts (word, n) of all words of all given texts, one end each."""
-    buckets = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = stage(_merged_counts(_partial_counts(training, buckets), buckets), "lm-counts")
-    pair = F.explode(F.arrays_zip("words", "counts")).alias("p")
-    counts = merged.select(pair).select(F.col("p.words").alias("word"), F.col("p.counts").alias("n"))
-    size = F.floor(F.log2("n") * 8).cast("int").alias("size")
-    histogram = counts.groupBy(size).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect()
-    # The cut keeps at most HEAD words, whatever the corpus.
-    cut, room = 1 << 30, HEAD
-    for row in sorted(histogram, key=lambda r: -r["size"]):
-        if (room := room - row["words"]) < 0:
-            break
-        cut = row["size"]
-    head = counts.where(size >= cut).toArrow()
-    words = np.asarray(head["word"]).astype(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    segments = merged.select("bucket", "segment").collect()  # MAX_BITS at most
-    bits = np.zeros(buckets, np.int64)
-    for row in segments:
-        bits[row["bucket"]] = 8 * len(row["segment"])
-    data = np.frombuffer(b"".join(bytes(r["segment"]) for r in sorted(segments, key=lambda r: r["bucket"])), np.uint8)
-    model = Model(
-        sum(r["tokens"] for r in histogram),
-        sum(r["words"] for r in histogram),
-        words[order],
-        np.asarray(head["n"]).astype(np.int64)[order],
-        CountFilter(data, np.cumsum(bits) - bits, bits),
-    )
-    return model, counts
+            yield from answer(bucket, held)
+
+    return partial.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _REPLY_SQL)
 
 
-def _score_slice(model: Model, tokens: np.ndarray, pairs: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per token: exact count (-1: not in the head), base and model log10 probability."""
+def _score_chunk(model: Model, buckets: int, texts: list[np.ndarray], replies: list[list]) -> tuple[np.ndarray, ...]:
+    """Per text: tokens, known tokens, base and model log10 probability."""
+    tokens = np.concatenate(texts)
+    lengths = np.array([len(t) for t in texts])
+    starts = np.cumsum(lengths) - lengths
     words, place = np.unique(tokens, return_inverse=True)
-    exact = model.head_count(words)
-    guess = model.filter.counts(words)
-    keys, key_place = np.unique(pairs, return_inverse=True)
-    joint = model.filter.counts(keys)[key_place]
-    context = np.maximum(model.filter.counts(np.unique(before)), 1.0)[np.unique(before, return_inverse=True)[1]]
-    alone = 10 ** model.log_base(guess)[place]
-    both = np.minimum(joint / np.maximum(context, joint), 1.0)
-    score = np.log10(BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * alone)
-    return exact[place], model.log_base(np.maximum(exact, 0))[place], score
-
-
-def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document its model score, the base score of its common words, and its other words."""
-    shared = Shared(docs.sparkSession, model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = pa.schema(
-        [
-            ("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
-            ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
-        ]
-    )
-
-    def documents(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """Rows of a batch, scored in groups of about SLICE tokens; longer texts go in parts."""
-        held: list[np.ndarray] = []
-        for text in batch["text"]:
-            held.append(tokens_of(text.as_py()))
-            if sum(map(len, held)) >= SLICE:
-                yield from scored(held)
-                held = []
-        yield from scored(held)
-
-    def scored(held: list[np.ndarray]) -> Iterator[tuple]:
-        if not held:
-            return
-        model = shared.value
-        tokens = np.concatenate(held)
-        before = np.concatenate([np.append(END, t[:-1]) for t in held])
-        pairs = mix(before * _STEP + tokens)
-        parts = [
-            _score_slice(model, tokens[i : i + SLICE], pairs[i : i + SLICE], before[i : i + SLICE])
-            for i in range(0, len(tokens), SLICE)
-        ]
-        exact, base, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-        end = 0
-        for t in held:
-            start, end = end, end + len(t)
-            known = exact[start:end] >= 0
-            rare, times = np.unique(t[~known], return_counts=True)
-            yield (
-                len(t),
-                int(known.sum()),
-                float(base[start:end][known].sum()),
-                float(score[start:end].sum()),
-                rare.view(np.int64),
-                times,
-            )
+    keys, key_place = np.unique(np.concatenate([bigrams_of(t) for t in texts]), return_inverse=True)
+    replies = sorted(replies, key=lambda r: r[0])
+    if sum(r[1] for r in replies) % (1 << 62) != (_sum(words) + _sum(keys)) % (1 << 62):
+        raise RuntimeError("two passes over the texts met them in different order: write them to a table first")
+
+    def gathered(distinct: np.ndarray, i: int, kind: str) -> np.ndarray:
+        out = np.empty(len(distinct), kind)
+        out[_by_bucket(distinct, buckets)[0]] = np.concatenate([np.frombuffer(r[i], kind) for r in replies])
+        return out
+
+    exact = gathered(words, 2, "<u8").astype(np.int64)
+    guess = count_of(gathered(words, 3, "u1"))
+    joint = count_of(gathered(keys, 4, "u1"))
+    base, alone, context = model.log_base(exact), 10 ** model.log_base(guess), np.maximum(guess, 1.0)
+    before = np.append(0, place[:-1])
+    before[starts] = np.searchsorted(words, END)
+    score = np.empty(len(tokens))
+    for i in range(0, len(tokens), SLICE):
+        at = slice(i, i + SLICE)
+        both = joint[key_place[at]]
+        both = np.minimum(both / np.maximum(context[before[at]], both), 1.0)
+        score[at] = np.log10(BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * alone[place[at]])
+    summed = lambda x: np.add.reduceat(x, starts)
+    return lengths, summed((exact > 0)[place].astype(np.int64)), summed(base[place]), summed(score)
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    """Scores of the rows that are asked for, by a model of those to be trained on.
+
+    ``rows`` has doc_id, text, trained and asked.  It is read twice and has to give its rows in the
+    same order, as files do; otherwise the query stops.
+    """
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    replies = stage(_replies(_partial_counts(rows, buckets), buckets), "lm-replies")
+    sizes = replies.agg(F.sum("tokens"), F.sum("distinct")).first()
+    model = Model(sizes[0] or 0, sizes[1] or 0)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, batch in _chunks(batches):
+            column = pa.array(np.full(batch.num_rows, chunk), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "chunk"])
+
+    def scored(held: list[tuple], texts: list[np.ndarray], replied: list[list]) -> pa.RecordBatch:
+        n_tokens, known, base, score = _score_chunk(model, buckets, texts, replied)
+        ids = pa.concat_arrays([h[0] for h in held])
+        trained = pa.concat_arrays([h[1] for h in held])
+        columns = [pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(
+            [ids, trained, *columns], ["doc_id", "trained", "n_tokens", "n_known", "base_score", "score"]
+        )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                rows = list(documents(batch))
-                columns = [pa.array(range(number, number + len(rows)), pa.int64())]
-                columns += [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(fields)[1:])]
-                number += len(rows)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", *fields.names])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        apply,
-        f"doc_id {kind}, row bigint, n_tokens bigint, known bigint, base double, score double, "
-        "rare array<bigint>, times array<bigint>",
+        current, held, texts, replied = None, [], [], []
+        for batch in batches:
+            chunks = batch["chunk"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                if current != chunks[start]:
+                    if texts:
+                        yield scored(held, texts, replied)
+                    current, held, texts, replied = chunks[start], [], [], []
+                part = batch.slice(start, end - start)
+                reply = pc.is_valid(part["bucket"])
+                own = part.filter(pc.invert(reply))
+                if own.num_rows:
+                    held.append((own["doc_id"], own["trained"]))
+                    texts += [tokens_of(t.as_py()) for t in own["text"]]
+                names = ("bucket", "check", "exact", "word_levels", "pair_levels")
+                replied += [list(r) for r in zip(*(part.filter(reply)[n].to_pylist() for n in names))]
+        if texts:
+            yield scored(held, texts, replied)
+
+    texts = rows.mapInArrow(numbered, f"doc_id {kind}, text string, trained boolean, asked boolean, chunk bigint")
+    both = texts.where("asked").drop("asked").unionByName(
+        replies.where("chunk IS NOT NULL").drop("tokens", "distinct"), allowMissingColumns=True
+    )
+    return (
+        both.repartition(buckets, "chunk")
+        .sortWithinPartitions("chunk")
+        .mapInArrow(
+            apply, f"doc_id {kind}, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+        )
+        .withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
     )
 
 
+_COLUMNS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     A null or empty text has one token, its end.  Words that training lacks count 0.  With no
     training text the model knows nothing: N and V are 0 and every token gets the same share.
     """
-    model, counts = train(training)
-    first = stage(_first_pass(docs, model), "lm-first-pass")
-    pair = F.explode(F.arrays_zip("rare", "times")).alias("p")
-    rare = first.select("row", pair).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    whole = float(model.n_tokens + 0.5 * (model.n_distinct + 1))
-    # Head words never stand here, so the join leaves them out.
-    sums = (
-        rare.join(counts, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("times") * F.log10((n + 0.5) / whole)).alias("rare_base"),
-        )
-    )
-    zero = F.lit(0)
-    return first.drop("rare", "times").join(sums, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"),
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
-        "score",
+    kind = docs.schema["doc_id"].dataType
+    asked = docs.select("doc_id", "text", F.lit(False).alias("trained"), F.lit(True).alias("asked"))
+    learned = training.select(
+        F.lit(None).cast(kind).alias("doc_id"), "text", F.lit(True).alias("trained"), F.lit(False).alias("asked")
     )
+    return _scores(asked.union(learned)).select("doc_id", *_COLUMNS)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(doc_id as text) mod 5 is not 1."""
     held = F.coalesce(remainder5() == 1, F.lit(False))
-    scores = score_documents(docs, docs.where(~held))
-    return scores.select("doc_id", held.alias("held_out"), *scores.columns[1:])
+    rows = docs.select("doc_id", "text", (~held).alias("trained"), F.lit(True).alias("asked"))
+    return _scores(rows).select("doc_id", (~F.col("trained")).alias("held_out"), *_COLUMNS)

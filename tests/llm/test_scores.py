@@ -132,6 +132,48 @@ def test_filter_reads_back_quantised_counts():
     assert (np.abs(exact - counts) <= 0.34 * counts + 0.5).all()
 
 
+def level_scores(rows, least):
+    """Scores by exact levels of all words and of the bigrams seen ``least`` times or more."""
+    level = lambda n: lm_scoring.count_of(lm_scoring.levels_of(np.array([n])))[0] if n else 0.0
+    texts = {i: ["<end>", *(t or "").split(), "<end>"] for i, t in rows}
+    trained = [w for i, w in texts.items() if rem(i) != 1]
+    count = Counter(x for w in trained for x in w[1:])
+    pairs = Counter(p for w in trained for p in zip(w, w[1:]))
+    whole = sum(count.values()) + 0.5 * (len(count) + 1)
+    for i, w in texts.items():
+        total = 0.0
+        for a, b in zip(w, w[1:]):
+            joint = level(pairs[a, b]) if pairs[a, b] >= least else 0.0
+            both = min(joint / max(level(count[a]), joint, 1), 1)
+            total += math.log10(0.3 * both + 0.7 * (level(count[b]) + 0.5) / whole)
+        yield i, total
+
+
+def test_filter_grows_with_the_corpus(make_docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", 1 << 12, raising=False)
+    texts = [prose(i // 10, 60).lower() for i in range(300)]  # ten copies: every bigram is seen often
+    got = {r.doc_id: r.score for r in lm_scoring.held_out_scores(make_docs(texts)).collect()}
+    for i, score in level_scores(enumerate(texts), 2):
+        assert got[i] == pytest.approx(score, abs=3)
+
+
+def test_training_of_its_own(make_docs):
+    texts = [prose(i, 30 + i) for i in range(40)]
+    held = make_docs([(i, t, "s") for i, t in enumerate(texts) if rem(i) == 1])
+    training = make_docs([(i, t, "s") for i, t in enumerate(texts) if rem(i) != 1])
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(held, training).collect()}
+    both = lm_scoring.held_out_scores(make_docs(texts)).where("held_out").collect()
+    assert got == pytest.approx({r.doc_id: r.score for r in both}) and got
+
+
+def test_no_probe_above_the_largest_level():
+    keys = np.arange(1000, dtype=np.uint64)
+    full = np.full(1 << 10, 255, np.uint8)
+    held = lm_scoring.CountFilter(full, np.zeros(1, np.int64), np.array([8 * len(full)]), 3)
+    assert (held.levels(keys) == 3).all()
+    assert lm_scoring.one_segment(keys, np.full(1000, 7)).top == lm_scoring.levels_of(np.array([7]))[0]
+
+
 def test_small_tables(make_docs):
     assert lm_scoring.held_out_scores(make_docs([])).count() == 0
     (one,) = lm_scoring.held_out_scores(make_docs([(next(i for i in range(99) if rem(i) == 1), "held out alone", "s")])).collect()
