@@ -27,7 +27,6 @@ from epithet.llm.common import mix, remainder5, stage, word_hashes
 HEAD = 1 << 20  # unused: exact counts of all words come with the replies
 ROW_BITS = 1 << 33  # what one row can hold; a segment that needs more is an error
 BITS_PER_ENTRY, PROBES, BASE = 10, 4, 1.5
-MIN_BIGRAM = 2  # a bigram seen once says no more than its words: it is left to the unigrams
 BIGRAM_WEIGHT = 0.3
 FLUSH = 12 << 20  # bytes of text in a chunk, and the rest of its last text
 SLICE = 1 << 18
@@ -240,9 +239,9 @@ def _replies(partial: DataFrame, buckets: int) -> DataFrame:
         asked_pairs = [_unpack40(h[4]) for h in held]
         words, word_place, word_ends, counts = summed(asked_words, 3)
         pairs, pair_place, pair_ends, pair_counts = summed(asked_pairs, 5)
-        known, often = counts > 0, pair_counts >= MIN_BIGRAM
+        known, seen = counts > 0, pair_counts > 0
         segment = one_segment(
-            np.concatenate((words[known] & _LOW40, pairs[often])), np.concatenate((counts[known], pair_counts[often]))
+            np.concatenate((words[known] & _LOW40, pairs[seen])), np.concatenate((counts[known], pair_counts[seen]))
         )
         word_levels = segment.levels(words & _LOW40).astype(np.uint8)
         pair_levels = segment.levels(pairs).astype(np.uint8)

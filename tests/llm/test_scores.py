@@ -157,6 +157,18 @@ def test_filter_grows_with_the_corpus(make_docs, monkeypatch):
         assert got[i] == pytest.approx(score, abs=3)
 
 
+def test_bigrams_seen_once_count(make_docs):
+    texts = [" ".join(f"{w}{i}" for w in prose(i, 60).lower().split()) for i in range(60)]
+    texts += [texts[next(i for i in range(60) if rem(i) != 1)]] * 9  # in training once, if held out elsewhere
+    rows = [(i, t) for i, t in enumerate(texts) if i < 60 or rem(i) == 1]
+    assert any(i >= 60 for i, _ in rows)
+    got = {r.doc_id: r.score for r in lm_scoring.held_out_scores(make_docs([(*r, "s") for r in rows])).collect()}
+    for i, score in level_scores(rows, 1):
+        assert got[i] == pytest.approx(score, abs=8)
+    once = dict(level_scores(rows, 2))
+    assert all(got[i] > once[i] + 20 for i, _ in rows if rem(i) != 1)
+
+
 def test_training_of_its_own(make_docs):
     texts = [prose(i, 30 + i) for i in range(40)]
     held = make_docs([(i, t, "s") for i, t in enumerate(texts) if rem(i) == 1])
