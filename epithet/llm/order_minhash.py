@@ -1,10 +1,11 @@
 """Order MinHash fingerprints: signatures that see the order of a text's k-mers, not their set alone.
 
-K-mers are runs of three words.  Repeats of a k-mer are numbered, so that each occurrence is an
-element of its own.  One permutation of the elements is cut into 64 bins; each bin keeps its two
-minimal elements, puts them in text order and hashes the pair.  Two texts share a bin's signature if
-they share the elements and their order, which is why replacing or moving a part lowers the likeness
-as edit distance grows.
+K-mers are runs of three words, or of four characters where a text has too few words for two runs.
+Repeats of a k-mer are numbered, so that each occurrence is an element of its own.  The 64
+permutations are rotations of one hash: permutation b starts at the b-th of 64 bins, goes on through
+the bins after it and around.  Each keeps the two minimal elements of the whole text, puts them in
+text order and hashes the pair.  Two texts share a signature if they share the elements and their
+order, which is why replacing or moving a part lowers the likeness as edit distance grows.
 
 Only SQL expressions over one row's arrays; the only shuffle brings neighbouring documents together.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from epithet.llm.common import let, stage, text_or_empty, words
 
 BIN_BITS, POSITION_BITS = 6, 28
+CHARACTERS = 4
 _MASK = (1 << POSITION_BITS) - 1
 
 
@@ -59,36 +61,62 @@ def _elements(kmers: Column) -> Column:
 
 
 def fingerprint(text: Column, size: int = 3) -> Column:
-    """Signatures of a text that is not null, one number for each bin with an element.
+    """Signatures of a text that is not null, one number for each of the 64 permutations.
 
-    The bin stands above 32 bits of the pair's hash.  A text without words has none; one with fewer
-    than ``size`` words is a single k-mer.
+    The permutation stands above 32 bits of the pair's hash.  A text without words has none.  One of
+    at most ``size`` words is taken by its characters, blanks as one space; below ``CHARACTERS`` + 1
+    of them it is a single k-mer, the only case without order.
     """
 
+    def runs(units: Column, length: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(units) - length, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(units, i + j) for j in range(length)]),
+        )
+
     def kmers(w: Column) -> Column:
-        return F.when(
-            F.size(w) > 0,
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))),
-                lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]),
-            ),
-        ).otherwise(F.array().cast("array<bigint>"))
+        characters = F.filter(F.split(F.array_join(w, " "), ""), lambda c: c != "")
+        return (
+            F.when(F.size(w) > size, runs(w, size))
+            .when(F.size(w) > 0, let(characters, lambda c: runs(c, CHARACTERS)))
+            .otherwise(F.array().cast("array<bigint>"))
+        )
 
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
+    # Signed, as the elements are sorted: from -half to half - 1.
+    bin_of, half = lambda x: F.shiftright(x, 64 - BIN_BITS).cast("int"), 1 << BIN_BITS - 1
 
     def signatures(minimal: Column) -> Column:
+        n = F.size(minimal)
         firsts = F.filter(
-            F.sequence(F.lit(0), F.size(minimal) - 1),
+            F.sequence(F.lit(0), n - 1),
             lambda j: (j == 0) | (bin_of(F.get(minimal, j)) != bin_of(F.get(minimal, j - 1))),
         )
 
-        def signature(x: Column, y: Column) -> Column:
+        def pair(x: Column, y: Column) -> Column:
             a, b = F.shiftright(x, POSITION_BITS), F.shiftright(y, POSITION_BITS)
-            single = y.isNull() | (bin_of(x) != bin_of(y))
-            pair = F.when(single, F.xxhash64(a)).when(_place(x) < _place(y), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
-            return F.shiftleft(bin_of(x), 32).bitwiseOR(pair.bitwiseAND(F.lit((1 << 32) - 1)))
+            hashed = F.when(n == 1, F.xxhash64(a)).when(_place(x) < _place(y), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+            return hashed.bitwiseAND(F.lit((1 << 32) - 1))
+
+        def spread(low: Column, high: Column, j: Column) -> Column:
+            """The pair at ``j`` for the bins from ``low`` to ``high``."""
+            marked = lambda b, p: F.shiftleft(b.cast("long").bitwiseAND(F.lit(2 * half - 1)), 32).bitwiseOR(p)
+            return let(
+                pair(F.get(minimal, j), F.get(minimal, (j + 1) % n)),
+                lambda p: F.transform(F.sequence(low, high), lambda b: marked(b, p)),
+            )
 
-        return F.transform(firsts, lambda j: signature(F.get(minimal, j), F.get(minimal, j + 1)))
+        # A bin without elements starts at the first element after it, the last ones at the first of all.
+        covered = F.transform(
+            firsts,
+            lambda j: spread(
+                F.when(j == 0, F.lit(-half)).otherwise(bin_of(F.get(minimal, j - 1)) + 1), bin_of(F.get(minimal, j)), j
+            ),
+        )
+        end = bin_of(F.get(minimal, n - 1)) + 1
+        around = F.when(end < half, spread(F.least(end, F.lit(half - 1)), F.lit(half - 1), F.lit(0))).otherwise(
+            F.array().cast("array<bigint>")
+        )
+        return F.concat(F.flatten(covered), around)
 
     def sketch(elements: Column) -> Column:
         # Sorted by bin and rank: an element is among its bin's two if the one two before isn't of the bin.
@@ -102,7 +130,7 @@ def fingerprint(text: Column, size: int = 3) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the bins of either fingerprint that have the same signature in both; 1 for two empty ones."""
+    """Share of the permutations of either fingerprint with the same signature in both; 1 for two empty ones."""
     bins = lambda x: F.transform(x, lambda s: F.shiftright(s, 32))
     either = F.size(F.array_union(bins(a), bins(b)))
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)

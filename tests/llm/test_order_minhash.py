@@ -67,6 +67,36 @@ def test_order_matters_and_edits_lower_likeness(spark):
     assert likeness(spark, text, prose(77, 400)) < 0.05
 
 
+def test_short_texts_keep_order(spark):
+    words = [f"{w}{i}" for i, w in enumerate(prose(8, 36).split())]
+    moved = " ".join(words[18:] + words[:18])
+    text = " ".join(words)
+    (a,), (b,) = (sketches(spark, [t]).values() for t in (text, moved))
+    assert {x >> 32 for x in a} == {x >> 32 for x in b} == set(range(64))
+    # 32 of 34 k-mers are shared, but their order is not
+    assert likeness(spark, text, moved) < 0.75
+    same = len(set(a) & set(b)) / 64
+    assert likeness(spark, text, moved) == same
+
+
+def test_two_kmers_in_both_orders(spark):
+    # equal k-mers but for their order: as sets, all signatures would be equal
+    a, b = "p q r s p q r t p q r s", "p q r t p q r s p q r t"
+    assert likeness(spark, a, b) < 1.0
+    assert all(len(p) == 64 for p in sketches(spark, [a, b, "four words are here", "p q r s"]).values())
+
+
+def test_texts_with_few_words_are_taken_by_characters(spark):
+    long = "".join(prose(5, 200).split())
+    other = "".join(prose(6, 200).split())
+    near = long[:-60] + other[:60]
+    assert 0.6 < likeness(spark, long, near) < 1.0
+    assert likeness(spark, long, long[500:] + long[:500]) < 0.95
+    assert likeness(spark, long, other) < 0.5
+    assert likeness(spark, "one  word", "one\tword") == 1.0
+    assert len(sketches(spark, ["日本語のテキスト"])[0]) == 64
+
+
 def test_repeats_are_numbered(spark):
     once, twice = prose(4, 120), prose(4, 120) + "\n" + prose(4, 120)
     assert likeness(spark, once, twice) < 0.95
