@@ -50,6 +50,15 @@ def test_labels_of_held_out_rows_are_not_used(make_docs, spark):
     assert scores[0] == scores[1]
 
 
+def test_an_id_on_many_rows_counts_once(make_docs, spark, monkeypatch):
+    monkeypatch.setattr(quality_ranker, "MAX_LABELLED", 2)
+    a, b = [i for i in range(20) if rem(i) != 0][:2]
+    docs = make_docs([(a, prose(i, 80), "s") for i in range(30)] + [(b, bad(0), "s")])
+    labels = spark.createDataFrame([(a, 1, 0), (b, 0, 0)], LABELS)
+    scores = {r.score for r in quality_ranker.quality_scores(docs, labels).collect()}
+    assert scores != {0.5}
+
+
 def test_ranker_without_pairs(make_docs, spark):
     docs = make_docs(["some text", None])
     for rows in ([], [(0, 1, 0), (1, 1, 0)]):
