@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from epithet.llm import (
     byte_bpe,
     chat_format,
+    conversation_repair,
+    lexical_search,
     lm_scoring,
     mixing,
     ngram_join,
@@ -17,6 +19,7 @@ from epithet.llm import (
     quality_rules,
     token_counts,
     url_filters,
+    warc,
 )
 from epithet.llm.statements import STATEMENTS
 
@@ -32,6 +35,11 @@ def _quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.quality_scores(docs, labels)
 
 
+def _lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return lexical_search.search(docs, items)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": _over("documents", ngram_join.jaccard_components),
     "op2_url_filters": _over("pages", url_filters.judge_pages),
@@ -43,6 +51,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": _over("documents", token_counts.document_token_counts),
     "op9_lm_scoring": _over("documents", lm_scoring.held_out_scores),
     "op10_chat_format": _over("conversations", chat_format.conversation_report),
+    "op11_warc": _over("pages", warc.round_trip),
+    "op12_lexical_search": _lexical_search,
+    "op13_conversation_repair": _over("conversations", conversation_repair.repair_report),
 }
 
 
