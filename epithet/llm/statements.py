@@ -104,10 +104,80 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM scored WHERE score > 0 QUALIFY rank <= 10
 """
 
+_CONVERSATION_REPAIR = r"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, turn, coalesce(role, ' ') AS role,
+         coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k:
+        CASE WHEN (x & 1) = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)),
+    CAST(4294967295 AS BIGINT)) % 20 AS kind
+  FROM source),
+damaged AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM summed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i
+  FROM damaged),
+rows AS (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+steps AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, '' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS out
+  FROM source
+  UNION ALL
+  SELECT c, i, state, cost, audit, out FROM (
+    SELECT s.c, r.i,
+           CASE edit WHEN 'D' THEN state WHEN 'K' THEN initial ELSE grown END AS state,
+           cost + CASE edit WHEN 'D' THEN 2 ELSE CASE edit WHEN 'R' THEN 1 ELSE 0 END
+                  + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END END AS cost,
+           audit || edit AS audit,
+           CASE edit WHEN 'D' THEN out WHEN 'K' THEN list_append(out, role || ':' || text)
+                ELSE list_append(out, CASE grown WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text) END AS out
+    FROM (
+      SELECT c, i, cost + 5 * n AS cost, audit || repeat('I', n) AS audit,
+             CASE WHEN n = 0 THEN state WHEN state = 'u' THEN 'a' ELSE 'u' END AS state,
+             CASE WHEN n = 0 THEN out WHEN state = 'u' THEN list_append(out, 'assistant:')
+                  ELSE list_append(out, 'user:') END AS out
+      FROM steps, (VALUES (0), (1)) AS inserted(n)) AS s
+    JOIN rows AS r ON r.c = s.c AND r.i = s.i + 1
+    CROSS JOIN (VALUES ('D'), ('K'), ('R')) AS edits(edit)
+    CROSS JOIN LATERAL (SELECT CASE state WHEN 'u' THEN 'a' ELSE 'u' END AS grown)
+    WHERE edit = 'D' OR fault NOT IN ('blank', 'duplicate')
+          AND (edit = 'R' OR initial = grown OR (initial = 's' AND state = '')))
+  QUALIFY row_number() OVER (PARTITION BY c, state ORDER BY cost, audit) = 1),
+ended AS (
+  SELECT c, i, cost + CASE state WHEN 'u' THEN 5 WHEN 's' THEN 10 ELSE 0 END AS cost,
+         audit || CASE state WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END AS audit,
+         list_concat(out, CASE state WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] END) AS out
+  FROM steps
+  QUALIFY i = max(i) OVER (PARTITION BY c)),
+best AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY c ORDER BY cost, audit) = 1),
+counted AS (
+  SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+       sha256(array_to_string(out, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM source) JOIN best USING (c) LEFT JOIN counted USING (c)
+"""
+
 STATEMENTS = {
     "op2_url_filters": _PAGES,
     "op6_quality_rules": _QUALITY_RULES,
     "op8_token_counts": _TOKEN_COUNTS,
     "op11_warc": _WARC,
     "op12_lexical_search": _LEXICAL_SEARCH,
+    "op13_conversation_repair": _CONVERSATION_REPAIR,
 }

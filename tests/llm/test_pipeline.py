@@ -22,7 +22,7 @@ def test_matches_statement(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) < set(names) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "quality_ranker", "near_duplicates", "mixing", "byte_bpe"
