@@ -30,6 +30,7 @@ SKETCH_BLOCK = 1 << 14
 HOT = 4096  # columns above this many entries are salted
 FILTER_BITS = 1 << 25
 BLOCK_ROWS = 256
+BAND = 0.05  # sizes of a band differ by about as much, as a share
 
 
 def set_key(grams: np.ndarray) -> int:
@@ -286,35 +287,55 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels.union(rest)
 
 
+def _reach(n: Column, place: Column) -> Column:
+    """The largest set that a set of size ``n`` may link to through its n-gram at ``place``."""
+    return F.floor(((SHARE + PER) * (n - place) - SHARE * n) / F.lit(SHARE))
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.lit(BAND)).cast("int")
+
+
 def _second_round(columns: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of a shared column whose rows are in different components and may still link.
 
-    The rows of a column and component form blocks; blocks of different components meet, and only
-    pairs within the bounds leave the product.
+    The smaller set of a pair is filed, the larger one (by key among equal sizes) probes.  A set can
+    only be found through an n-gram so near its front that what follows can reach the overlap with a
+    set of its own size; a probe goes to the bands of sizes between the smallest set it may link to
+    and the largest it can still reach from its place.  So rows that differ in too many rare n-grams
+    never meet in the frequent ones behind.  The rows of a column, band and component form blocks;
+    only pairs within the exact bounds leave the product of two blocks.
     """
+    n, reach = F.col("n"), _reach(F.col("n"), F.col("place"))
+    least = F.ceil(n * SHARE / F.lit(PER))
     chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK_ROWS)).alias("chunk")
-    rows = columns.select("gram", "key", "n", "place", "central", chunk).join(labels, "key")
+    open_rows = columns.select("gram", "key", "n", "place", "central", chunk).where(reach >= least)
+    rows = open_rows.join(labels, "key")
     mixed = rows.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    blocks = (
-        rows.join(mixed.select("gram"), "gram", "left_semi")
-        .groupBy("gram", "label", "chunk")
-        .agg(F.collect_list(F.struct("key", "n", "place", "central")).alias("rows"))
-    )
-    x, y = blocks.alias("x"), blocks.alias("y")
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")))
-    fits = lambda p, q: _may_link(p["n"], p["place"], q["n"], q["place"])
-    first = lambda p, q: (p["central"] > q["central"]) | ((p["central"] == q["central"]) & (p["key"] > q["key"]))
-    product = F.flatten(
-        F.transform(
-            F.col("x.rows"),
-            lambda p: F.transform(
-                F.filter(F.col("y.rows"), lambda q: fits(p, q)),
-                lambda q: F.when(first(p, q), F.struct(p["key"].alias("a"), q["key"].alias("b"))).otherwise(
-                    F.struct(q["key"].alias("a"), p["key"].alias("b"))
-                ),
-            ),
-        )
-    )
+    rows = rows.join(mixed.select("gram"), "gram", "left_semi")
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        held = F.collect_list(F.struct("key", "n", "place", "central")).alias(f"{name}_rows")
+        return side.groupBy("gram", "band", F.col("label").alias(f"{name}_label"), "chunk").agg(held).drop("chunk")
+
+    filed = blocks(rows.where(reach >= n).withColumn("band", _band(n)), "filed")
+    bands = F.explode(F.sequence(_band(least), _band(F.least(n, reach))))
+    probes = blocks(rows.withColumn("band", bands), "probe")
+    met = probes.join(filed, ["gram", "band"]).where("probe_label <> filed_label")
+
+    def fits(p: Column, q: Column) -> Column:
+        larger = (p["n"] > q["n"]) | ((p["n"] == q["n"]) & (p["key"] > q["key"]))
+        return larger & _may_link(p["n"], p["place"], q["n"], q["place"])
+
+    def pair(p: Column, q: Column) -> Column:
+        first = (p["central"] > q["central"]) | ((p["central"] == q["central"]) & (p["key"] > q["key"]))
+        one = F.struct(p["key"].alias("a"), q["key"].alias("b"))
+        return F.when(first, one).otherwise(F.struct(q["key"].alias("a"), p["key"].alias("b")))
+
+    def with_filed(p: Column) -> Column:
+        return F.transform(F.filter("filed_rows", lambda q: fits(p, q)), lambda q: pair(p, q))
+
+    product = F.flatten(F.transform("probe_rows", with_filed))
     return met.select(F.explode(product).alias("p")).select("p.a", "p.b").distinct()
 
 
