@@ -24,9 +24,13 @@ BLOCKS = 1 << BLOCK_BITS
 SEED = 20_011
 
 
-def _slot(doc_id: str) -> Column:
+def _size() -> Column:
+    return F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
+
+
+def _slot(size: Column) -> Column:
     """Place of a row in its source's permutation, 0 to 65,535."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(doc_id), F.col("size")), 64 - SLOT_BITS)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id"), size), 64 - SLOT_BITS)
 
 
 def source_targets(
@@ -162,9 +166,9 @@ def mixing_plan(
     levels: int = 6,
 ) -> DataFrame:
     """One row per source: targets, passes, the cut of the partial pass, and each block's shard."""
-    sized = _sized(docs)
+    sized = docs.select("source", "doc_id", _size().alias("size"))
     slots = stage(
-        sized.groupBy("source", _slot("doc_id").alias("slot")).agg(F.sum("size").alias("words")), "mix-slots"
+        sized.groupBy("source", _slot(F.col("size")).alias("slot")).agg(F.sum("size").alias("words")), "mix-slots"
     )
     totals = slots.groupBy("source").agg(F.sum("words").alias("source_size"))
     quotas = stage(_quotas(slots, source_targets(totals, weights, share, most)), "mix-quotas")
@@ -191,8 +195,27 @@ def mixing_plan(
     return stage(quotas.join(runs, "place").withColumn("shards", shards).drop("run"), "mix-plan")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
+ADDED = ("size", "source_size", "target", "copies")
+
+
+def _drawn(docs: DataFrame, **options) -> DataFrame:
+    """All columns of ``docs`` and a struct ``__mix`` of the four that ``draw`` adds."""
+    plan = mixing_plan(docs, **options)
+    packed = plan.select(F.struct(*plan.columns).alias("__plan"))
+    sized = docs.select("*", _size().alias("__size")).select("*", _slot(F.col("__size")).alias("__slot"))
+    p = F.col("__plan")
+    block = F.shiftright("__slot", SLOT_BITS - BLOCK_BITS).cast("int")
+    whole = F.filter(F.sequence(F.lit(0), p["passes"]), lambda n: n < p["passes"])
+    part = F.when(F.col("__slot") <= p["cut"], F.array(p["passes"])).otherwise(F.array().cast("array<int>"))
+    copies = F.transform(
+        F.concat(whole, part),
+        lambda n: F.struct(n.alias("pass"), F.get(p["shards"], n * BLOCKS + block).alias("shard")),
+    )
+    added = F.struct(
+        F.col("__size").alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), copies.alias("copies")
+    )
+    joined = sized.join(packed, F.col("source").eqNullSafe(p["source"]))
+    return joined.select(*[joined[c] for c in docs.columns], added.alias("__mix"))
 
 
 def draw(docs: DataFrame, **options) -> DataFrame:
@@ -201,24 +224,17 @@ def draw(docs: DataFrame, **options) -> DataFrame:
     ``copies`` lists (pass, shard) for each time the mix takes the row, at most ``most`` times.
     Sources are the values of ``source``, null among them; a null text has size 0.  Rows of one id
     and size share a slot and are taken together, so repeated rows are all kept or all left.  An
-    empty table gives an empty mix.  Columns of these four names in the input are replaced.
+    empty table gives an empty mix.  Input that has a column of one of these four names is an error.
     """
-    plan = mixing_plan(docs, **options).alias("p")
-    rows = _sized(docs.drop("size", "source_size", "target", "copies")).withColumn("__slot", _slot("doc_id"))
-    block = F.shiftright("__slot", SLOT_BITS - BLOCK_BITS).cast("int")
-    whole = F.filter(F.sequence(F.lit(0), F.col("passes")), lambda p: p < F.col("passes"))
-    part = F.when(F.col("__slot") <= F.col("cut"), F.array("passes")).otherwise(F.array().cast("array<int>"))
-    copies = F.transform(
-        F.concat(whole, part),
-        lambda p: F.struct(p.alias("pass"), F.get("shards", p * BLOCKS + block).alias("shard")),
-    )
-    joined = rows.alias("d").join(plan, F.col("d.source").eqNullSafe(F.col("p.source")))
-    return joined.select("d.*", "source_size", "target", copies.alias("copies")).drop("__slot")
+    if clash := sorted(set(ADDED) & {c.lower() for c in docs.columns}):
+        raise ValueError(f"columns {clash} would be overwritten")
+    return _drawn(docs, **options).select(*docs.columns, "__mix.*")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows: columns of ``docs``, one row for each copy, by shard and shuffled locally."""
-    drawn = draw(docs, **options).select(*docs.columns, F.explode("copies").alias("__copy"))
+    """The mixed rows: columns of ``docs``, whatever their names, one row for each copy, by shard and
+    shuffled locally."""
+    drawn = _drawn(docs, **options).select(*docs.columns, F.explode("__mix.copies").alias("__copy"))
     order = F.xxhash64(F.lit(SEED + 1), "__copy", "doc_id", "text")
     return (
         drawn.withColumns({"__shard": F.col("__copy.shard"), "__order": order})

@@ -111,68 +111,74 @@ def repeated_window_words(tokens: Column) -> Column:
     )
 
 
-def line_quality(docs: DataFrame, rules: LineRules | None = None, min_words: int = 50) -> DataFrame:
-    """All input columns, a struct ``rules`` of measures and decisions, and ``clean_text``.
-
-    A null or empty text has no words and is rejected by ``min_words``.  ``clean_text`` is the text
-    without its failing lines (null stays null).  A text is kept when the base rules hold and the
-    failing lines hold at most ``max_lost_share`` of its words.  Repeated rows are judged alike;
-    columns named ``rules`` or ``clean_text`` in the input are replaced.
-    """
-    rules = rules or LineRules()
+def _judged(rules: LineRules, min_words: int) -> Column:
+    """struct<rules, clean>: measures and decisions, and the text without its failing lines."""
     text = text_or_empty()
     lines = F.split(text, "\n")
 
-    def judged(t: Column) -> Column:
-        tokens = words(t["text"])
+    def measured(t: Column) -> Column:
         ends = F.filter(t["lines"], lambda line: line.rlike(WORD))
         passing = F.filter(t["lines"], lambda line: _line_passes(line, rules))
+        return F.struct(
+            F.size(t["words"]).cast("long").alias("n_words"),
+            repeated_window_words(t["words"]).alias("n_repeat_words"),
+            (F.size(ends) - F.size(F.array_distinct(ends))).cast("long").alias("n_dup_lines"),
+            F.array_join(passing, "\n").alias("clean"),
+        )
+
+    def decided(m: Column) -> Column:
+        base_failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        lost = m["n_words"] - _n_words(m["clean"])
         return let(
-            F.struct(
-                F.size(tokens).cast("long").alias("n_words"),
-                repeated_window_words(t["words"]).alias("n_repeat_words"),
-                (F.size(ends) - F.size(F.array_distinct(ends))).cast("long").alias("n_dup_lines"),
-                F.array_join(passing, "\n").alias("clean"),
+            F.struct(base_failed.alias("failed"), lost.alias("lost")),
+            lambda d: F.struct(
+                F.struct(
+                    m["n_words"].alias("n_words"),
+                    (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+                    F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+                    m["n_dup_lines"].alias("n_dup_lines"),
+                    m["n_repeat_words"].alias("n_repeat_words"),
+                    d["lost"].alias("lost_words"),
+                    d["failed"].alias("base_failed"),
+                    (~d["failed"] & (d["lost"] <= rules.max_lost_share * m["n_words"])).alias("kept"),
+                ).alias("rules"),
+                m["clean"].alias("clean"),
             ),
-            lambda s: s,
         )
 
-    parts = let(
-        F.struct(text.alias("text"), lines.alias("lines"), words(text).alias("words")), judged
-    )
-    measured = docs.drop("rules", "clean_text").withColumn("rules", parts)
-    n, m = F.col("rules.n_words"), F.col("rules")
-    base_failed = (n < min_words) | (100 * F.col("rules.n_repeat_words") > 50 * n)
-    left = _n_words(F.col("rules.clean"))
-    lost_ok = (n - left) <= rules.max_lost_share * n
-    return measured.select(
-        *[c for c in measured.columns if c != "rules"],
-        F.struct(
-            n.alias("n_words"),
-            (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            m["n_dup_lines"].alias("n_dup_lines"),
-            m["n_repeat_words"].alias("n_repeat_words"),
-            (n - left).alias("lost_words"),
-            base_failed.alias("base_failed"),
-            (~base_failed & lost_ok).alias("kept"),
-        ).alias("rules"),
-        F.when(F.col("text").isNotNull(), m["clean"]).alias("clean_text"),
-    )
+    parts = F.struct(lines.alias("lines"), words(text).alias("words"))
+    return let(let(parts, measured), decided)
+
+
+def line_quality(docs: DataFrame, rules: LineRules | None = None, min_words: int = 50) -> DataFrame:
+    """All input columns, a struct ``rules`` of measures and decisions, and ``clean_text``.
+
+    A null or empty text has no words and is rejected by ``min_words``.  ``clean_text`` is the text
+    without its failing lines (null stays null).  A text is kept when the base rules hold and the
+    failing lines hold at most ``max_lost_share`` of its words.  Repeated rows are judged alike;
+    columns named ``rules`` or ``clean_text`` in the input are replaced.
+    """
+    judged = docs.drop("rules", "clean_text").select("*", _judged(rules or LineRules(), min_words).alias("__judged"))
+    clean = F.when(F.col("text").isNotNull(), F.col("__judged.clean"))
+    return judged.select(*judged.columns[:-1], "__judged.rules", clean.alias("clean_text"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """One row of measures and decisions per document."""
+    """One row of measures and decisions per document; see ``line_quality`` for nulls and repeats."""
     judged = line_quality(docs)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
     return judged.select("doc_id", *[F.col(f"rules.{c}").alias(c) for c in names])
 
 
-def keep_clean(docs: DataFrame) -> DataFrame:
-    """Documents that pass, without their failing lines; columns as in ``docs``."""
-    judged = line_quality(docs)
-    passed = judged.where(F.col("rules.kept"))
-    new = {"text": F.col("clean_text")}
+def keep_clean(docs: DataFrame, rules: LineRules | None = None, min_words: int = 50) -> DataFrame:
+    """Documents that pass, without their failing lines; columns as in ``docs``, whatever their names.
+
+    The judgement is unnested where it says "kept": a filter on it would be pushed below and judge every
+    text again.
+    """
+    kept = F.filter(F.array(_judged(rules or LineRules(), min_words)), lambda j: j["rules"]["kept"])
+    passed = docs.select("*", F.explode(kept).alias("__judged"))
+    new = {"text": F.col("__judged.clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("clean_text").cast("long")
-    return passed.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.length("__judged.clean").cast("long")
+    return passed.select(*[new[c].alias(c) if c in new else passed[c] for c in docs.columns])

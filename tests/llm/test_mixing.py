@@ -73,7 +73,7 @@ def test_mix_repeats_rows_as_drawn(make_docs, report):
 
 def test_blocks_are_disjoint_among_shards(make_docs):
     drawn = mixing.draw(make_docs(rows()), levels=3)
-    block = F.shiftright(mixing._slot("doc_id"), mixing.SLOT_BITS - mixing.BLOCK_BITS)
+    block = F.shiftright(mixing._slot(F.col("size")), mixing.SLOT_BITS - mixing.BLOCK_BITS)
     copies = drawn.select("source", block.alias("block"), F.explode("copies").alias("c"))
     shards = copies.groupBy("source", "block", "c.pass").agg(F.countDistinct("c.shard").alias("n"))
     assert shards.agg(F.max("n")).first()[0] == 1
@@ -102,3 +102,17 @@ def test_small_tables(make_docs):
 def test_no_python_in_the_plan(make_docs):
     plan = mixing.mix(make_docs(["a b", "c d"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_user_columns_of_any_name_are_kept(make_docs):
+    names = ["size", "source_size", "target", "copies", "slot", "place", "words", "passes", "cut", "drawn", "shards"]
+    extra = [f"concat('{n} of ', doc_id) AS {n}" for n in names]
+    plain, clashing = make_docs(rows()), make_docs(rows(), extra)
+    mixed = mixing.mix(clashing)
+    assert mixed.columns == clashing.columns
+    got = [r.asDict() for r in mixed.collect()]
+    assert all(r[n] == (None if r["doc_id"] is None else f"{n} of {r['doc_id']}") for r in got for n in names)
+    kept = ("doc_id", "text", "source")
+    assert sorted(str([r[c] for c in kept]) for r in got) == sorted(str(list(r)) for r in mixing.mix(plain).select(*kept).collect())
+    with pytest.raises(ValueError, match="overwritten"):
+        mixing.draw(clashing)

@@ -114,3 +114,16 @@ def test_lines_are_removed_before_the_text_is_judged(make_docs):
     assert sorted(kept) == [0, 1] and {kept[0].text, kept[1].text} == {good}
     assert kept[1].n_chars == len(good)
     assert quality_rules.keep_clean(docs.limit(0)).columns == docs.columns
+
+
+def test_keep_clean_keeps_user_columns_and_judges_once(make_docs):
+    names = ["rules", "clean_text", "kept", "clean", "words", "lines", "size"]
+    texts = [prose(i, 80) + "\n### | nothing | here" for i in range(20)] + ODD
+    docs = make_docs(texts, [f"concat('{n} of ', doc_id) AS {n}" for n in names])
+    out = quality_rules.keep_clean(docs)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs.columns and set(range(20)) <= set(got)
+    assert all(r[n] == f"{n} of {i}" for i, r in got.items() for n in names)
+    assert all(r.text == texts[i].split("\n###")[0] and r.n_chars == len(r.text) for i, r in got.items() if i < 20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lorem ipsum") == 1
