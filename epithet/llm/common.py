@@ -58,15 +58,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(staged: DataFrame) -> None:
-    """Remove a table that ``stage`` wrote, once all that reads it has been written itself."""
-    files = staged.inputFiles()
-    if files:
-        spark = staged.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epithet.llm.common import Shared, discard, in_slices, mix, shingle_set, stage
+from epithet.llm.common import Shared, in_slices, mix, shingle_set, stage
 
 SHINGLE = 5
 # Two sets link when PER * overlap >= SHARE * union.
@@ -30,6 +30,8 @@ SKETCH_BLOCK = 1 << 14
 HOT = 4096  # columns above this many entries are salted
 FILTER_BITS = 1 << 25
 BLOCK_ROWS = 256
+BLOCK_GRAMS = 1 << 21
+BLOCK_PAIRS = 20_000
 BAND = 0.05  # sizes of a band differ by about as much, as a share
 
 
@@ -149,24 +151,17 @@ def _entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 def _columns(entries: DataFrame) -> DataFrame:
     """Entries of the columns with two rows or more, with the column's size and most central row.
 
-    A hot column is dealt to 64 tasks; what each has found of it, one row, is put together after.
+    A column of two rows is one pair: the row that is not central stands for it, if the two may link.  A
+    hot column is dealt to 64 tasks; what each has found of it, one row, is put together after.
     """
     leader = F.max(F.struct("central", "key", "n", "place"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(0)
     dealt = entries.withColumn("salt", salt).repartition("gram", "salt").dropDuplicates(["gram", "salt", "key"])
     part = Window.partitionBy("gram", "salt")
-    parts = dealt.withColumns(
-        {
-            "size": F.count("*").over(part),
-            "leader": leader.over(part),
-            "other_n": F.sum("n").over(part) - F.col("n"),
-            "other_place": F.sum("place").over(part) - F.col("place"),
-        }
-    )
-    # Most columns have two rows, which are checked against each other at once.
-    two = (F.col("size") == 2) & _may_link(*map(F.col, ("n", "place", "other_n", "other_place")))
-    found = parts.where(F.col("hot") | two | (F.col("size") > 2)).drop("other_n", "other_place")
-    found = stage(found, "join-columns")
+    parts = dealt.withColumns({"size": F.count("*").over(part), "leader": leader.over(part)})
+    other = F.col("leader")
+    pair = (F.col("key") != other["key"]) & _may_link(F.col("n"), F.col("place"), other["n"], other["place"])
+    found = stage(parts.where(F.col("hot") | (F.col("size") > 2) | ((F.col("size") == 2) & pair)), "join-columns")
     names = ("gram", "key", "n", "place", "central", "size", "leader")
     whole = (
         found.where("hot")
@@ -186,41 +181,11 @@ def _may_link(n: Column, place: Column, other_n: Column, other_place: Column) ->
     return (SHARE + PER) * most >= SHARE * (n + other_n)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link.  A run of pairs of one ``a`` is one block product."""
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("b_grams"))
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("a_grams"))
-    rows = pairs.select("a", "b").join(right, "b").join(left, "a")
+def _texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, text) of the wanted classes, one text each, and of few others.
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(start, BLOCK_ROWS)
-                a = batch["a"].to_numpy()
-                ends = [*(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
-                kept, begin = [], 0
-                for end in ends:
-                    one = np.frombuffer(batch["a_grams"][begin].as_buffer(), np.uint64)
-                    block = [np.frombuffer(batch["b_grams"][i].as_buffer(), np.uint64) for i in range(begin, end)]
-                    sizes = np.array([len(x) for x in block])
-                    # Column by column: an entry of the block counts where the row has the same n-gram.
-                    grams = np.concatenate(block)
-                    at = np.minimum(np.searchsorted(one, grams), len(one) - 1)
-                    overlap = np.add.reduceat((one[at] == grams).astype(np.int64), np.cumsum(sizes) - sizes)
-                    union = sizes + len(one) - overlap
-                    kept += (begin + np.flatnonzero(PER * overlap >= SHARE * union)).tolist()
-                    begin = end
-                yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-    return rows.select("a", "b", "a_grams", "b_grams").mapInArrow(multiply, "a bigint, b bigint")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, grams) of the wanted classes, from one document of each, and of few others.
-
-    A bit filter of fixed size over the ids of these documents goes to the tasks.  Sets beyond those
-    wanted, or more than once, do no harm: the joins that follow don't ask for them, or find a link
-    twice.
+    A bit filter of fixed size over the ids of their documents goes to the tasks.  Texts beyond those
+    wanted do no harm: the join that follows doesn't ask for them.
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     ids = classes.join(wanted, "key").select(bit.alias("bit"))
@@ -232,29 +197,82 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     shared = Shared(docs.sparkSession, data)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in in_slices(batches):
             bits = batch["bit"].to_numpy()
             held = shared.value[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)
-            keys, grams = [], []
+            keys, texts = [], []
             for i in np.flatnonzero(held).tolist():
-                found = shingle_set((batch["text"][i].as_py() or "").encode(), SHINGLE)
-                keys.append(set_key(found))
-                grams.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], ["key", "grams"]
-            )
+                text = batch["text"][i].as_py() or ""
+                grams = shingle_set(text.encode(), SHINGLE)
+                if len(grams) and (key := set_key(grams)) not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["key", "text"])
 
-    return docs.select(bit.alias("bit"), "text").mapInArrow(read, "key bigint, grams binary")
+    found = docs.select(bit.alias("bit"), "text").mapInArrow(read, "key bigint, text string")
+    return found.groupBy("key").agg(F.first("text").alias("text"))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that link; only the sets of rows in some pair are read and moved."""
+    """The pairs (a, b) whose whole sets link.
+
+    The texts of all ``b`` of an ``a`` meet the text of ``a``, in as many salted blocks as the number of
+    pairs asks for; texts take less room than their sets.  A run of one ``a`` is a block product.
+    """
     pairs = stage(pairs, "join-pairs")
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "join-wanted")
-    sets = stage(_sets(docs, wanted, classes), "join-sets")
-    linked = stage(_verify(pairs, sets), "join-linked")
-    discard(sets)
-    return linked
+    salts = max(64, pairs.count() // BLOCK_PAIRS)
+    placed = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    head = placed.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("row"), F.col("a").alias("key"))
+    asked = head.union(placed.select("a", "salt", F.lit(1), "b"))
+    wanted = stage(asked, "join-wanted")
+    texts = _texts(docs, wanted.select("key").distinct(), classes)
+    rows = wanted.join(texts, "key").repartition("a", "salt").sortWithinPartitions("a", "salt", "row")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, found, held = None, [], 0
+        block: list[np.ndarray] = []
+        names: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if not block:
+                return
+            # Column by column: an entry of the block counts where the row has the same n-gram.
+            sizes = np.array([len(x) for x in block])
+            grams = np.concatenate(block)
+            at = np.minimum(np.searchsorted(one, grams), len(one) - 1)
+            overlap = np.add.reduceat((one[at] == grams).astype(np.int64), np.cumsum(sizes) - sizes)
+            union = sizes + len(one) - overlap
+            found.extend(names[i] for i in np.flatnonzero(PER * overlap >= SHARE * union).tolist())
+            block.clear()
+            names.clear()
+
+        def links() -> pa.RecordBatch:
+            columns = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+        for batch in in_slices(batches, BLOCK_ROWS):
+            for a, row, key, text in zip(*(batch[c] for c in ("a", "row", "key", "text")), strict=True):
+                if row.as_py() == 0:
+                    close()
+                grams = shingle_set(text.as_py().encode(), SHINGLE)
+                if row.as_py() == 0:
+                    one = grams
+                else:
+                    block.append(grams)
+                    names.append((a.as_py(), key.as_py()))
+                    held += len(grams)
+                if held > BLOCK_GRAMS:
+                    close()
+                    held = 0
+            close()
+            held = 0
+            yield links()
+
+    linked = rows.select("a", "row", "key", "text").mapInArrow(multiply, "a bigint, b bigint")
+    return stage(linked, "join-linked")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -307,20 +325,30 @@ def _second_round(columns: DataFrame, labels: DataFrame) -> DataFrame:
     only pairs within the exact bounds leave the product of two blocks.
     """
     n, reach = F.col("n"), _reach(F.col("n"), F.col("place"))
-    least = F.ceil(n * SHARE / F.lit(PER))
+    least, most = F.ceil(n * SHARE / F.lit(PER)), F.least(n, reach)
     chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK_ROWS)).alias("chunk")
-    open_rows = columns.select("gram", "key", "n", "place", "central", chunk).where(reach >= least)
-    rows = open_rows.join(labels, "key")
-    mixed = rows.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    rows = rows.join(mixed.select("gram"), "gram", "left_semi")
+    many = columns.where("size > 2").select("gram", "key", "n", "place", "central", chunk)
+    rows = many.join(labels, "key")
+    # What a column has filed, band by band: the components there and how far they reach.
+    band = F.struct(
+        F.col("band"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(reach).alias("far")
+    ).alias("b")
+    filed_rows = rows.where(reach >= n).withColumn("band", _band(n))
+    bands = filed_rows.groupBy("gram", "band").agg(band).groupBy("gram").agg(F.collect_list("b").alias("bands"))
+    reached = F.filter(
+        "bands",
+        lambda b: b["band"].between(_band(least), _band(most))
+        & (b["far"] >= n)
+        & ((b["x"] != F.col("label")) | (b["y"] != F.col("label"))),
+    )
+    asking = rows.join(bands, "gram").withColumn("band", F.explode(F.transform(reached, lambda b: b["band"])))
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
         held = F.collect_list(F.struct("key", "n", "place", "central")).alias(f"{name}_rows")
         return side.groupBy("gram", "band", F.col("label").alias(f"{name}_label"), "chunk").agg(held).drop("chunk")
 
-    filed = blocks(rows.where(reach >= n).withColumn("band", _band(n)), "filed")
-    bands = F.explode(F.sequence(_band(least), _band(F.least(n, reach))))
-    probes = blocks(rows.withColumn("band", bands), "probe")
+    probes = blocks(asking.drop("bands"), "probe")
+    filed = blocks(filed_rows.join(asking.select("gram", "band").distinct(), ["gram", "band"], "left_semi"), "filed")
     met = probes.join(filed, ["gram", "band"]).where("probe_label <> filed_label")
 
     def fits(p: Column, q: Column) -> Column:
@@ -336,7 +364,12 @@ def _second_round(columns: DataFrame, labels: DataFrame) -> DataFrame:
         return F.transform(F.filter("filed_rows", lambda q: fits(p, q)), lambda q: pair(p, q))
 
     product = F.flatten(F.transform("probe_rows", with_filed))
-    return met.select(F.explode(product).alias("p")).select("p.a", "p.b").distinct()
+    across = met.select(F.explode(product).alias("p")).select("p.a", "p.b")
+    # Columns of two rows are pairs already.
+    two = columns.where("size = 2").select(F.col("leader.key").alias("a"), F.col("key").alias("b")).distinct()
+    label = lambda side: labels.select(F.col("key").alias(side), F.col("label").alias(f"{side}_label"))
+    apart = two.join(label("a"), "a").join(label("b"), "b").where("a_label <> b_label").select("a", "b")
+    return across.union(apart).distinct()
 
 
 def _first_round(columns: DataFrame) -> DataFrame:
@@ -361,10 +394,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "join-classes"
     )
     columns = _columns(_entries(docs, _sketch(scanned)))
-    nodes = stage(columns.select("key", F.col("key").alias("label")).distinct(), "join-nodes")
-    star = _linked(_first_round(columns), docs, classes)
+    keys = columns.select(F.explode(F.array("key", F.when(F.col("size") == 2, F.col("leader.key")))).alias("key"))
+    nodes = stage(keys.where("key is not null").distinct().withColumn("label", F.col("key")), "join-nodes")
+    first = stage(_first_round(columns), "join-star")
+    star = _linked(first, docs, classes)
     labels = stage(components(star, nodes), "join-first")
-    more = _linked(_second_round(columns, labels), docs, classes)
+    more = _linked(_second_round(columns, labels).join(first, ["a", "b"], "left_anti"), docs, classes)
     final = components(star.union(more), nodes)
     # A component's name is the smallest id of its classes.
     names = classes.join(final, "key", "left").select(
