@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def unnest(c: Column | str) -> Column:
     evaluated again for every element.  An expression is left alone.
     """
     return F.explode(F.transform(c, lambda x: x))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: a lambda over an array of one element."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from epithet import params
 from epithet.functions import text as T
+from epithet.functions.arrays import let
 from epithet.operators.tree import (
     MODIFYING,
     NAMING,
     SUBJECTS,
+    child_positions,
     children,
     head,
+    index,
     is_subject_of,
     lemmas,
     low,
@@ -37,7 +40,8 @@ def _lexicon_group(lemma: Column, lexicon: Lexicon | None) -> Column:
 
 
 def mention_context(annotated: DataFrame, lexicon: Lexicon | None) -> DataFrame:
-    """Adds ``ms``: per mention its token ``e``, head ``h``, ``hh`` and their children.
+    """Adds ``kids``, the children index, and ``ms``: per mention its token ``e``, head ``h``, ``hh``
+    and their children.
 
     Without a lexicon the row's ``overlap`` terms are the lexicon.
     """
@@ -50,7 +54,7 @@ def mention_context(annotated: DataFrame, lexicon: Lexicon | None) -> DataFrame:
         lambda m: m["grp"].isNotNull(),
     )
 
-    def context(m: Column) -> Column:
+    def context(m: Column, kids: Column) -> Column:
         e = m["e"]
         h = head(toks, e)
         hh = head(toks, h)
@@ -60,14 +64,16 @@ def mention_context(annotated: DataFrame, lexicon: Lexicon | None) -> DataFrame:
             h.alias("h"),
             hh.alias("hh"),
             (h["pos"].isin(*NAMING) & e["dep"].isin(*MODIFYING)).alias("mod"),
-            children(toks, e["i"]).alias("ch_e"),
-            children(toks, h["i"]).alias("ch_h"),
-            children(toks, hh["i"]).alias("ch_hh"),
+            children(toks, kids, e["i"]).alias("ch_e"),
+            children(toks, kids, h["i"]).alias("ch_h"),
+            children(toks, kids, hh["i"]).alias("ch_hh"),
         )
 
-    return annotated.select("*", found.alias("_found")).select(
-        *annotated.columns, F.transform("_found", context).alias("ms")
-    )
+    def of_sentence(kids: Column) -> Column:
+        return F.struct(kids.alias("kids"), F.transform(found, lambda m: context(m, kids)).alias("ms"))
+
+    staged = annotated.select("*", let(index(toks), of_sentence).alias("_ctx"))
+    return staged.select(*annotated.columns, "_ctx.kids", "_ctx.ms")
 
 
 def _noun_rules(m: Column) -> Column:
@@ -94,12 +100,9 @@ def _copula_adjectives(m: Column) -> Column:
     return F.filter(acomps, lambda _a: copular)
 
 
-def _under(toks: Column, parents: Column) -> Column:
+def _under(toks: Column, kids: Column, parents: Column) -> Column:
     """Children of any of ``parents``."""
-    return F.filter(
-        toks,
-        lambda c: (c["i"] != c["head"]) & F.exists(parents, lambda p: p["i"] == c["head"]),
-    )
+    return F.flatten(F.transform(parents, lambda p: children(toks, kids, p["i"])))
 
 
 def _stops(m: Column) -> Column:
@@ -109,19 +112,18 @@ def _stops(m: Column) -> Column:
     )
 
 
-def _verb_rules(x: Column, toks: Column) -> Column:
-    m = x["m"]
+def _verb_rules(m: Column, joined: Column, toks: Column, kids: Column) -> Column:
     e, h, hh = m["e"], m["h"], m["hh"]
     governs = m["mod"] & (h["dep"] == "nsubj") & (hh["pos"] == "VERB")
     active = only_if(
         governs, F.concat(F.array(low(hh["lemma"])), lemmas(_conjuncts(m["ch_hh"], "VERB")))
     )
-    after_adjective = lemmas(_conjuncts(x["joined"], "VERB"))
+    after_adjective = lemmas(_conjuncts(joined, "VERB"))
     clauses = F.filter(
         m["ch_h"],
         lambda c: (c["pos"] == "VERB")
         & c["dep"].isin("acl", "relcl")
-        & ~F.exists(toks, lambda g: is_subject_of(g, c["i"])),
+        & ~F.exists(children(toks, kids, c["i"]), lambda g: g["dep"].isin(*SUBJECTS)),
     )
     clausal = only_if(m["mod"], lemmas(clauses))
     is_subject = e["dep"].isin(*SUBJECTS) & (h["pos"] == "VERB") & (h["dep"] == "ROOT")
@@ -139,32 +141,50 @@ def _verb_rules(x: Column, toks: Column) -> Column:
     return F.concat(active, after_adjective, clausal, own, agent)
 
 
-def _copula_adjective_rule(x: Column) -> Column:
-    return F.concat(lemmas(x["acomps"]), lemmas(_conjuncts(x["joined"], "ADJ")))
+def _copula_adjective_rule(acomps: Column, joined: Column) -> Column:
+    return F.concat(lemmas(acomps), lemmas(_conjuncts(joined, "ADJ")))
 
 
-def _may_be_adjective(t: Column, m: Column, toks: Column, lexicon: Lexicon | None) -> Column:
-    """Gates every adjective candidate passes before its link is looked at."""
-    th = head(toks, t)
+def _may_be_adjective(t: Column, toks: Column, lexicon: Lexicon | None) -> Column:
+    """Gates every adjective candidate passes, whatever the mention."""
     lemma = low(t["lemma"])
-    on_other_noun = (
-        (th["pos"] == "NOUN")
-        & ~((th["dep"] == "attr") & (th["head"] == m["h"]["i"]))
-        & ~th["i"].isin(m["e"]["i"], m["h"]["i"])
-    )
     # Cheap and selective first: only these can pass, or open a hyphen span.
     possible = t["pos"].isin("ADJ", "VERB") | (F.get(toks, t["i"] + 1)["text"] == "-")
     return (
         F.coalesce(possible, F.lit(False))
         & ~t["pos"].isin(*params.NEVER_ADJECTIVE_POS)
-        & (t["i"] != m["e"]["i"])
         & _lexicon_group(lemma, lexicon).isNull()
         & ~lemma.isin(*params.INTENSIFIERS, *params.CATEGORY_WORDS)
         & ~low(t["text"]).isin(*params.ORDINAL_SUFFIXES)
-        & ~on_other_noun
     )
 
 
+def _free_for(t: Column, m: Column, toks: Column) -> Column:
+    """Not the mention itself, and not on a noun other than the mention and its head."""
+    th = head(toks, t)
+    on_other_noun = (
+        (th["pos"] == "NOUN")
+        & ~((th["dep"] == "attr") & (th["head"] == m["h"]["i"]))
+        & ~th["i"].isin(m["e"]["i"], m["h"]["i"])
+    )
+    return (t["i"] != m["e"]["i"]) & ~on_other_noun
+
+
+def _adjective_marks(toks: Column, lexicon: Lexicon | None) -> Column:
+    """What the adjective rules ask of a sentence, once for all mentions.
+
+    ``gate``: the tokens that may be adjectives; ``openers``: those that open a hyphen span; ``stops``:
+    a letter for each token, ``x`` for verbs and nouns.
+    """
+    letters = F.transform(toks, lambda t: F.when(t["pos"].isin("VERB", "NOUN"), "x").otherwise("."))
+
+    def marks(gate: Column) -> Column:
+        openers = F.filter(toks, lambda t: F.get(gate, t["i"]) & _opens_hyphen(t, toks))
+        return F.struct(gate.alias("gate"), openers.alias("openers"), F.array_join(letters, "").alias("stops"))
+
+    return let(F.transform(toks, lambda t: _may_be_adjective(t, toks, lexicon)), marks)
+
+
 def _opens_hyphen(t: Column, toks: Column) -> Column:
     """Token, hyphen, adjective-like token."""
     dash, right = token(toks, t["i"] + 1), token(toks, t["i"] + 2)
@@ -180,11 +200,10 @@ def _opens_hyphen(t: Column, toks: Column) -> Column:
     )
 
 
-def _hyphen_starts(candidates: Column, toks: Column) -> Column:
+def _hyphen_starts(openers: Column) -> Column:
     """Positions of accepted hyphen spans, left to right without overlap."""
-    opens = F.transform(F.filter(candidates, lambda t: _opens_hyphen(t, toks)), lambda t: t["i"])
     return F.aggregate(
-        opens,
+        F.transform(openers, lambda t: t["i"]),
         F.array().cast("array<int>"),
         lambda taken, i: F.when(F.try_element_at(taken, F.lit(-1)) >= i - 2, taken).otherwise(
             F.array_append(taken, i)
@@ -197,9 +216,7 @@ def _predicates(t: Column, e: Column, toks: Column) -> Column:
     return (t["dep"] == "acomp") & (head(toks, t)["lemma"] == "be") & is_subject_of(e, t["head"])
 
 
-def _hyphen_rule(x: Column, toks: Column) -> Column:
-    e = x["m"]["e"]
-
+def _hyphen_rule(e: Column, starts: Column, toks: Column) -> Column:
     def linked(i: Column) -> Column:
         t = token(toks, i)
         copula = head(toks, head(toks, t))
@@ -209,15 +226,18 @@ def _hyphen_rule(x: Column, toks: Column) -> Column:
         both = F.concat(token(toks, i)["text"], token(toks, i + 2)["text"])
         return low(F.replace(both, F.lit("-"), F.lit("")))
 
-    return F.transform(F.filter(x["starts"], linked), joined)
+    return F.transform(F.filter(starts, linked), joined)
 
 
-def _plain_rule(x: Column, toks: Column) -> Column:
-    m = x["m"]
+def _plain_rule(m: Column, starts: Column, marks: Column, toks: Column, kids: Column) -> Column:
+    """Only tokens that a link or the text can tie to the mention are looked at."""
     e, h = m["e"], m["h"]
+    # The first verb or noun after the mention ends the fragment that begins with it.
+    found = F.call_function("locate", F.lit("x"), marks["stops"], e["i"] + 2)
+    end = F.when(found > 0, found - 1).otherwise(F.size(toks) - 1)
 
     def consumed(t: Column) -> Column:
-        return F.exists(x["starts"], lambda s: t["i"].between(s, s + 2))
+        return F.exists(starts, lambda s: t["i"].between(s, s + 2))
 
     def adjective_like(t: Column) -> Column:
         participle = (t["pos"] == "VERB") & t["tag"].isin("VBG", "VBN")
@@ -230,11 +250,20 @@ def _plain_rule(x: Column, toks: Column) -> Column:
         th = head(toks, t)
         coordinated = (t["dep"] == "conj") & (th["pos"] == "ADJ") & _predicates(th, e, toks)
         attributive = (t["dep"] == "amod") & t["head"].isin(h["i"], e["i"])
-        between = F.slice(toks, e["i"] + 2, F.greatest(F.lit(0), t["i"] - e["i"] - 1))
-        fragment = (e["i"] < t["i"]) & ~F.exists(between, lambda b: b["pos"].isin("VERB", "NOUN"))
+        fragment = t["i"].between(e["i"] + 1, end)
         return _predicates(t, e, toks) | coordinated | attributive | fragment
 
-    kept = F.filter(x["cands"], lambda t: adjective_like(t) & ~consumed(t) & attached(t))
+    beside = F.transform(m["ch_h"], lambda t: t["i"])
+    below = F.flatten(
+        F.transform(F.filter(m["ch_h"], lambda t: t["dep"] == "acomp"), lambda t: child_positions(kids, t["i"]))
+    )
+    after = F.when(end > e["i"], F.sequence(e["i"] + 1, end)).otherwise(F.array().cast("array<int>"))
+    near = F.concat(F.transform(m["ch_e"], lambda t: t["i"]), F.array(h["i"]), beside, below, after)
+    passing = F.filter(F.array_distinct(near), lambda i: F.get(marks["gate"], i))
+    kept = F.filter(
+        F.transform(passing, lambda i: F.get(toks, i)),
+        lambda t: _free_for(t, m, toks) & adjective_like(t) & ~consumed(t) & attached(t),
+    )
     return F.transform(kept, lambda t: T.clean_term(low(t["lemma"])))
 
 
@@ -249,46 +278,35 @@ def collect_modifiers(
     Without a lexicon each sentence uses its own ``overlap`` terms (and their
     plurals) as lexicon.  Rules of kinds not asked for don't run; their lists are empty.
     """
-    toks = F.col("toks")
-    ctx = mention_context(annotated, lexicon).select("doc_id", "sent_id", "toks", "ms", *_overlap(lexicon))
-
-    def with_candidates(m: Column) -> Column:
-        none = F.slice(toks, 1, 0)
-        cands = none
-        if "adjs" in kinds:
-            possible = F.filter(toks, lambda t: _may_be_adjective(t, m, toks, lexicon))
-            cands = F.when(_stops(m), none).otherwise(possible)
-        acomps = none if tuple(kinds) == ("nouns",) else _copula_adjectives(m)
-        return F.struct(m.alias("m"), cands.alias("cands"), acomps.alias("acomps"))
-
-    def with_followers(x: Column) -> Column:
-        none = F.slice(toks, 1, 0)
-        under = F.when(F.size(x["acomps"]) > 0, _under(toks, x["acomps"])).otherwise(none)
-        return F.struct(
-            x["m"],
-            x["cands"],
-            x["acomps"],
-            under.alias("joined"),
-            _hyphen_starts(x["cands"], toks).alias("starts"),
-        )
+    toks, kids = F.col("toks"), F.col("kids")
+    ctx = mention_context(annotated, lexicon).select("doc_id", "sent_id", "toks", "kids", "ms", *_overlap(lexicon))
+    none = F.array().cast("array<string>")
 
-    def collected(x: Column) -> Column:
-        m = x["m"]
-        none = F.array().cast("array<string>")
-        found = {
-            "nouns": lambda: _noun_rules(m),
-            "verbs": lambda: _verb_rules(x, toks),
-            "adjs": lambda: F.concat(
-                _copula_adjective_rule(x), _hyphen_rule(x, toks), _plain_rule(x, toks)
-            ),
-        }
-        lists = [(found[k]() if k in kinds else none).alias(k) for k in KINDS]
-        return F.struct(m["grp"].alias("grp"), *lists)
+    def adjectives(m: Column, acomps: Column, joined: Column, marks: Column) -> Column:
+        openers = F.filter(marks["openers"], lambda t: _free_for(t, m, toks))
 
-    staged = ctx.select("*", F.transform("ms", with_candidates).alias("xs"))
-    staged = staged.select("doc_id", "sent_id", "toks", F.transform("xs", with_followers).alias("xs"))
-    hits = staged.select("doc_id", "sent_id", F.transform("xs", collected).alias("hits"))
-    return fold_by_group(hits)
+        def rules(starts: Column) -> Column:
+            return F.concat(_hyphen_rule(m["e"], starts, toks), _plain_rule(m, starts, marks, toks, kids))
+
+        free = F.when(_stops(m), none).otherwise(let(_hyphen_starts(openers), rules))
+        return F.concat(_copula_adjective_rule(acomps, joined), free)
+
+    def collected(m: Column, marks: Column) -> Column:
+        def lists(acomps: Column, joined: Column) -> Column:
+            found = {
+                "nouns": lambda: _noun_rules(m),
+                "verbs": lambda: _verb_rules(m, joined, toks, kids),
+                "adjs": lambda: adjectives(m, acomps, joined, marks),
+            }
+            return F.struct(m["grp"].alias("grp"), *[(found[k]() if k in kinds else none).alias(k) for k in KINDS])
+
+        if tuple(kinds) == ("nouns",):
+            return lists(none, none)
+        return let(_copula_adjectives(m), lambda acomps: let(_under(toks, kids, acomps), lambda j: lists(acomps, j)))
+
+    marks = _adjective_marks(toks, lexicon) if "adjs" in kinds else F.lit(None)
+    hits = let(marks, lambda s: F.transform("ms", lambda m: collected(m, s)))
+    return fold_by_group(ctx.select("doc_id", "sent_id", hits.alias("hits")))
 
 
 def _overlap(lexicon: Lexicon | None) -> list[str]:
@@ -315,16 +333,18 @@ def fold_by_group(hits: DataFrame) -> DataFrame:
     )
 
 
-def window_modifiers(sents: DataFrame, lexicon: Lexicon, window: int = params.WINDOW) -> DataFrame:
+def window_modifiers(
+    sents: DataFrame, lexicon: Lexicon | None = None, window: int = params.WINDOW
+) -> DataFrame:
     """Same output from plain context windows: content words near each mention.
 
-    Words longer than two letters that are not function words, classed by suffix.
+    Words longer than two letters that are not function words, classed by suffix.  Without a lexicon the
+    row's ``overlap`` terms are the lexicon.
     """
     toks = F.col("tokens")
+    named = lambda t: T.is_term(t, lexicon) if lexicon else F.array_contains("overlap", t)
     at = F.filter(
-        F.transform(
-            toks, lambda t, i: F.struct(i.alias("i"), F.when(T.is_term(t, lexicon), t).alias("grp"))
-        ),
+        F.transform(toks, lambda t, i: F.struct(i.alias("i"), F.when(named(t), t).alias("grp"))),
         lambda m: m["grp"].isNotNull(),
     )
 

@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 
 from epithet import params
 from epithet.functions import text as T
+from epithet.functions.arrays import let
 from epithet.operators.rules import mention_context
 from epithet.operators.tree import (
     MODIFYING,
     NAMING,
     children,
     head,
+    index,
+    inside,
     is_child,
     is_subject_of,
     lemmas,
     low,
     only_if,
-    path_to_root,
+    spans,
+    subject_index,
     subjects_of_predicate,
     token,
 )
@@ -78,19 +82,22 @@ def count_verbs(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def count_adjectives(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Adjectives that modify the group's head or predicate over the group."""
-    toks = F.col("toks")
-    such = F.transform(
-        F.filter(toks, lambda t: low(t["text"]) == "such"), lambda t: path_to_root(toks, t["i"])
-    )
-    ctx = mention_context(annotated, lexicon).select("toks", "ms", such.alias("such"))
+    toks, kids = F.col("toks"), F.col("kids")
+    ctx = mention_context(annotated, lexicon)
+
+    def above_such(tree: Column) -> Column:
+        """The spans of all tokens, and of those that read ``such``."""
+        such = F.transform(F.filter(toks, lambda t: low(t["text"]) == "such"), lambda t: F.get(tree, t["i"]))
+        return F.struct(tree.alias("all"), such.alias("such"))
 
-    def listed(t: Column) -> Column:
+    holds_such = F.exists(toks, lambda t: low(t["text"]) == "such")
+    enumerating = F.when(holds_such, let(spans(toks, kids), above_such))
+
+    def listed(t: Column, tree: Column) -> Column:
         th = head(toks, t)
         in_list = (t["dep"] == "conj") & th["pos"].isin("NOUN", "ADJ")
-        enumerated = (th["pos"] == "NOUN") & F.exists(
-            "such", lambda path: F.array_contains(path, th["i"])
-        )
-        return in_list | enumerated
+        over = F.exists(tree["such"], lambda s: inside(s, F.get(tree["all"], th["i"])))
+        return in_list | ((th["pos"] == "NOUN") & F.coalesce(over, F.lit(False)))
 
     def hyphenated(t: Column) -> Column:
         dash, right = token(toks, t["i"] + 1), token(toks, t["i"] + 2)
@@ -103,16 +110,17 @@ def count_adjectives(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
         predicates = t["dep"].isin("acomp", "attr") & is_subject_of(e, t["head"])
         return modifies | predicates
 
-    def kept(m: Column) -> Column:
+    def kept(m: Column, tree: Column) -> Column:
         e = m["e"]
+        # Whatever applies hangs on the head of the mention, or is that head.
         return F.filter(
-            toks,
+            F.concat(F.array(m["h"]), m["ch_h"]),
             lambda t: (t["pos"] == "ADJ")
             & (t["i"] != e["i"])
             & (t["ent"] != "NORP")
             & ~low(t["lemma"]).isin(*params.COUNTED_INTENSIFIERS, *params.COUNTED_CATEGORY_WORDS)
             & ~low(t["lemma"]).isin(list(lexicon.surfaces))
-            & ~listed(t)
+            & ~listed(t, tree)
             & applies(t, e),
         )
 
@@ -121,10 +129,10 @@ def count_adjectives(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
         plain = T.clean_term(low(t["lemma"]), collapse_hyphens=True)
         return F.when(hyphenated(t), joined).otherwise(plain)
 
-    per_mention = F.transform(
-        "ms", lambda m: _pairs(m["grp"], F.transform(kept(m), spelled))
-    )
-    return _count_pairs(ctx, F.flatten(per_mention))
+    def pairs(tree: Column) -> Column:
+        return F.flatten(F.transform("ms", lambda m: _pairs(m["grp"], F.transform(kept(m, tree), spelled))))
+
+    return _count_pairs(ctx, let(enumerating, pairs))
 
 
 # ---------------------------------------------------------------------------
@@ -132,8 +140,8 @@ def count_adjectives(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _with_mention_paths(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Adds ``mp``: per mention (by surface form) its group and its path to the root."""
+def _with_mention_spans(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Adds ``spans``, and ``mp``: per mention (by surface form) its group and its span."""
     toks = F.col("toks")
     found = F.filter(
         F.transform(
@@ -141,34 +149,41 @@ def _with_mention_paths(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
         ),
         lambda m: m["grp"].isNotNull(),
     )
-    staged = annotated.select("doc_id", "sent_id", "toks", found.alias("_found"))
-    paths = F.transform(
-        "_found",
-        lambda m: F.struct(m["grp"].alias("grp"), path_to_root(toks, m["i"]).alias("path")),
-    )
-    return staged.select("doc_id", "sent_id", "toks", paths.alias("mp"))
+
+    def of_sentence(tree: Column) -> Column:
+        mentions = F.transform(
+            found, lambda m: F.struct(m["grp"].alias("grp"), F.get(tree, m["i"]).alias("span"))
+        )
+        return F.struct(tree.alias("spans"), mentions.alias("mp"))
+
+    both = let(index(toks), lambda kids: let(spans(toks, kids), of_sentence))
+    staged = annotated.select("doc_id", "sent_id", "toks", both.alias("_tree"))
+    return staged.select("doc_id", "sent_id", "toks", "_tree.spans", "_tree.mp")
 
 
 def _predicates(df: DataFrame, test) -> DataFrame:
     """Adds ``preds``: the tokens passing ``test`` with their subjects' positions."""
     toks = F.col("toks")
-    found = F.transform(
-        F.filter(toks, test),
-        lambda t: F.struct(
-            t["i"].alias("i"),
-            low(t["lemma"]).alias("lemma"),
-            t["dep"].alias("dep"),
-            t["head"].alias("head"),
-            subjects_of_predicate(toks, t).alias("subs"),
-        ),
-    )
-    return df.select("*", found.alias("preds"))
+
+    def found(subjects: Column) -> Column:
+        return F.transform(
+            F.filter(toks, test),
+            lambda t: F.struct(
+                t["i"].alias("i"),
+                low(t["lemma"]).alias("lemma"),
+                t["dep"].alias("dep"),
+                t["head"].alias("head"),
+                subjects_of_predicate(subjects, t).alias("subs"),
+            ),
+        )
+
+    return df.select("*", let(subject_index(toks), found).alias("preds"))
 
 
 def _below(position: Column, lemma: Column) -> Column:
     """(group, lemma) for every mention in the subtree of a position."""
-    inside = F.filter("mp", lambda m: F.array_contains(m["path"], position))
-    return F.transform(inside, lambda m: F.struct(m["grp"].alias("grp"), lemma.alias("term")))
+    within = F.filter("mp", lambda m: inside(m["span"], F.get(F.col("spans"), position)))
+    return F.transform(within, lambda m: F.struct(m["grp"].alias("grp"), lemma.alias("term")))
 
 
 def _below_subjects(p: Column) -> Column:
@@ -191,7 +206,7 @@ def _linked_and_rest(df: DataFrame) -> DataFrame:
     linked = F.transform(
         "preds", lambda p: F.struct(p.alias("p"), _below_subjects(p).alias("linked"))
     )
-    return df.select("mp", _groups(df).alias("groups"), linked.alias("ps"))
+    return df.select("mp", "spans", _groups(df).alias("groups"), linked.alias("ps"))
 
 
 def subtree_adjectives(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -209,7 +224,7 @@ def subtree_adjectives(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
             & (t["ent"] != "NORP")
         )
 
-    df = _linked_and_rest(_predicates(_with_mention_paths(annotated, lexicon), countable))
+    df = _linked_and_rest(_predicates(_with_mention_spans(annotated, lexicon), countable))
     pairs = F.transform("ps", lambda x: _first_filled(x["linked"], _every_group(x["p"])))
     return _count_pairs(df, F.flatten(pairs))
 
@@ -226,7 +241,7 @@ def subtree_verbs(annotated: DataFrame, lexicon: Lexicon, use_fallback: bool = F
             & t["tag"].isin(*params.VERB_TAGS)
         )
 
-    df = _linked_and_rest(_predicates(_with_mention_paths(annotated, lexicon), countable))
+    df = _linked_and_rest(_predicates(_with_mention_spans(annotated, lexicon), countable))
 
     def pairs_of(x: Column) -> Column:
         p = x["p"]
@@ -263,6 +278,17 @@ def predicate_subjects(annotated: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+def mention_cache(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(doc_id, sent_id, i, grp) of the tokens that name a group by their text, else by their lemma."""
+
+    def named(t: Column) -> Column:
+        return F.coalesce(T.group_of(low(t["text"]), lexicon), T.group_of(low(t["lemma"]), lexicon))
+
+    toks = F.transform("toks", lambda t: F.struct(t["i"].cast("bigint").alias("i"), named(t).alias("grp")))
+    mentions = F.filter(toks, lambda m: m["grp"].isNotNull())
+    return annotated.select("doc_id", "sent_id", F.explode(mentions).alias("m")).select("doc_id", "sent_id", "m.*")
+
+
 def first_modified_nouns(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Count, over sentences, of the first noun modified by a group or NORP word."""
     toks = F.col("toks")
@@ -272,12 +298,13 @@ def first_modified_nouns(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
             (c["ent"] == "NORP") | T.is_term(low(c["text"]), lexicon)
         )
 
-    modified = F.filter(
-        toks,
-        lambda t: (t["pos"] == "NOUN")
-        & F.exists(toks, lambda c: is_child(c, t["i"]) & group_word(c)),
+    heads = F.transform(
+        F.filter(toks, lambda c: group_word(c) & is_child(c, c["head"])), lambda c: F.get(toks, c["head"])
+    )
+    positions = F.transform(F.filter(heads, lambda t: t["pos"] == "NOUN"), lambda t: t["i"])
+    first = F.transform(
+        F.slice(F.sort_array(positions), 1, 1), lambda i: low(F.get(toks, i)["lemma"])
     )
-    first = F.slice(F.transform(modified, lambda t: low(t["lemma"])), 1, 1)
     return (
         annotated.select(F.explode(first).alias("noun"))
         .groupBy("noun")
@@ -295,39 +322,48 @@ def holds_norp(toks: Column) -> Column:
     return F.exists(toks, lambda t: t["ent"] == "NORP")
 
 
+def _count_per_name(annotated: DataFrame, lexicon: Lexicon, terms) -> DataFrame:
+    """Counts of ``terms(e, kids)`` over the named groups ``e`` of all sentences."""
+
+    def pairs(kids: Column) -> Column:
+        return F.flatten(
+            F.transform(_named(annotated, lexicon), lambda e: _pairs(low(e["text"]), terms(e, kids)))
+        )
+
+    return _count_pairs(annotated, let(index(F.col("toks")), pairs))
+
+
 def norp_verbs(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Verbs that govern a named group or hang on it."""
     toks = F.col("toks")
 
-    def verbs(e: Column) -> Column:
+    def verbs(e: Column, kids: Column) -> Column:
         h = head(toks, e)
         governed = only_if(
             (h["pos"] == "VERB") & h["tag"].isin(*params.VERB_TAGS), F.array(low(h["lemma"]))
         )
-        return F.concat(governed, lemmas(children(toks, e["i"], lambda c: c["pos"] == "VERB")))
+        return F.concat(governed, lemmas(children(toks, kids, e["i"], lambda c: c["pos"] == "VERB")))
 
-    pairs = F.transform(_named(annotated, lexicon), lambda e: _pairs(low(e["text"]), verbs(e)))
-    return _count_pairs(annotated, F.flatten(pairs))
+    return _count_per_name(annotated, lexicon, verbs)
 
 
 def norp_adjectives(annotated: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Adjectives that modify a named group or predicate over it."""
     toks = F.col("toks")
 
-    def adjectives(e: Column) -> Column:
+    def adjectives(e: Column, kids: Column) -> Column:
         def usable(c: Column, *deps: str) -> Column:
             return (c["pos"] == "ADJ") & c["dep"].isin(*deps) & ~T.is_directional(low(c["lemma"]))
 
         h = head(toks, e)
-        attributive = children(toks, e["i"], lambda c: usable(c, "amod"))
+        attributive = children(toks, kids, e["i"], lambda c: usable(c, "amod"))
         predicative = only_if(
             h["pos"].isin("AUX", "VERB") & is_subject_of(e, h["i"]),
-            lemmas(children(toks, h["i"], lambda c: usable(c, "acomp", "attr"))),
+            lemmas(children(toks, kids, h["i"], lambda c: usable(c, "acomp", "attr"))),
         )
         return F.concat(lemmas(attributive), predicative)
 
-    pairs = F.transform(_named(annotated, lexicon), lambda e: _pairs(low(e["text"]), adjectives(e)))
-    return _count_pairs(annotated, F.flatten(pairs))
+    return _count_per_name(annotated, lexicon, adjectives)
 
 
 def entity_counts(annotated: DataFrame, lexicon: Lexicon, top: int | None = 6) -> DataFrame:

@@ -1,10 +1,14 @@
+import random
 import re
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from epithet.operators import rules, variants
 from epithet.operators.annotate import TOKEN_TYPE
+from epithet.operators.tree import child_positions, index, inside, spans
 from epithet.params import Lexicon
 
 GROUPS = Lexicon.of("filipino korean japanese chinese vietnamese thai maori indian".split())
@@ -96,8 +100,6 @@ def test_passive_agent_and_participle_predicate(spark):
 
 def test_group_own_lexicon_needs_overlap(spark):
     df = frame(spark, sentence("thais/thais/PROPN/NNPS/nsubj/1 sing/sing/VERB/VBP/ROOT/1"))
-    from pyspark.sql import functions as F
-
     with_terms = df.withColumn("overlap", F.array(F.lit("thai")))
     without = df.withColumn("overlap", F.array(F.lit("maori")))
     assert [r.grp for r in rules.collect_modifiers(with_terms).collect()] == ["thai"]
@@ -184,3 +186,77 @@ def test_outside_parses_reach_the_modifier_job(spark, feed):
     assert len(whole) >= 10 and found == whole
     direct = rules.collect_modifiers(annotate.parsed_sentences(table, GROUPS))
     assert {r.doc_id: [r.nouns, r.verbs, r.adjs] for r in direct.collect()} == {n: e for n, e, _ in parses()}
+
+
+# --- navigation ---------------------------------------------------------------
+
+
+def heads_frame(spark, *trees):
+    rows = [
+        (f"d{n}", 0, [(i, f"w{i}", f"w{i}", "NOUN", "NN", "dep", h, "") for i, h in enumerate(heads)])
+        for n, heads in enumerate(trees)
+    ]
+    return spark.createDataFrame(rows, f"doc_id string, sent_id bigint, toks {TOKEN_TYPE}")
+
+
+def random_heads(rng, n):
+    """A forest: every head is a root or leads to one."""
+    order = rng.sample(range(n), n)
+    heads = list(range(n))
+    for k in range(1, n):
+        if rng.random() > 0.1:
+            heads[order[k]] = order[rng.randrange(k)]
+    return heads
+
+
+def test_index_and_spans_equal_walking_the_heads(spark):
+    rng = random.Random(4)
+    trees = [random_heads(rng, n) for n in (1, 2, 3, 7, 20, 60) for _ in range(4)] + [list(range(1, 50)) + [49], []]
+    df = heads_frame(spark, *trees)
+    toks = F.col("toks")
+    pairs = F.transform(
+        toks,
+        lambda a: F.transform(toks, lambda b: inside(F.get(F.col("spans"), a["i"]), F.get(F.col("spans"), b["i"]))),
+    )
+    kids = F.transform(toks, lambda t: child_positions(F.col("kids"), t["i"]))
+    out = df.withColumn("kids", index(toks)).withColumn("spans", spans(toks, F.col("kids")))
+    rows = {r.doc_id: r for r in out.select("doc_id", pairs.alias("within"), kids.alias("children")).collect()}
+    for n, heads in enumerate(trees):
+        up = [[i] for i in range(len(heads))]
+        for path in up:
+            while heads[path[-1]] != path[-1]:
+                path.append(heads[path[-1]])
+        row = rows[f"d{n}"]
+        assert row.within == [[b in up[a] for b in range(len(heads))] for a in range(len(heads))]
+        assert row.children == [[i for i, h in enumerate(heads) if h == k != i] for k in range(len(heads))]
+
+
+def test_circles_are_in_no_subtree(spark):
+    df = heads_frame(spark, [1, 2, 0, 3, 3])
+    found = df.withColumn("kids", index(F.col("toks"))).select(spans(F.col("toks"), F.col("kids")).alias("s")).first().s
+    assert [s is None for s in found] == [True, True, True, False, False]
+
+
+def test_work_is_linear_in_the_sentence(spark):
+    """Four times the tokens may take at most about four times as long; a square would take sixteen."""
+    lex = Lexicon.of(["thai"])
+    took = {}
+    for n in (5_000, 20_000):
+        rng = random.Random(n)
+        words = [("thai", "thai", "PROPN", "NNP", "amod"), ("good", "good", "ADJ", "JJ", "amod"), ("man", "man", "NOUN", "NN", "nsubj"),
+                 ("sing", "sing", "VERB", "VBP", "conj"), ("of", "of", "ADP", "IN", "prep")]
+        toks = []
+        for i in range(n):
+            text, lemma, pos, tag, dep = words[i % 5]
+            toks.append((i, text, lemma, pos, tag, dep, max(0, i - rng.randint(1, 3)), "NORP" if text == "thai" else ""))
+        df = frame(spark, toks).cache()
+        df.count()
+        runs = []
+        for _ in range(3):
+            start = time.perf_counter()
+            variants.subtree_verbs(df, Lexicon(lex.terms, always_plural=True)).count()
+            variants.predicate_subjects(df).count()
+            rules.collect_modifiers(df, lex).count()
+            runs.append(time.perf_counter() - start)
+        took[n] = min(runs)
+    assert took[20_000] < 8 * took[5_000], took
