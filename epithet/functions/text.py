@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from epithet import params
+from epithet.functions.arrays import let
 from epithet.params import Lexicon
 
 # The white space characters that a Unicode-aware split and strip
@@ -73,29 +75,41 @@ def merge_terms(tokens: Column, lexicon: Lexicon) -> Column:
             found = found.when(run(i, k).isin(by_size[k]), F.lit(k))
         return found
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i).isin(heads))
-    hits = F.filter(
-        F.transform(starts, lambda i: F.struct(i.alias("i"), longest(i).alias("k"))),
-        lambda h: h["k"].isNotNull(),
-    )
+    def spans(positions: Column) -> Column:
+        hits = F.transform(positions, lambda i: F.struct(i.alias("i"), longest(i).alias("k")))
+        return leftmost_spans(F.filter(hits, lambda h: h["k"].isNotNull()))
+
+    def merged(positions: Column) -> Column:
+        return let(spans(positions), lambda taken: merge_spans(tokens, taken))
+
+    starts = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(heads), i)), lambda i: i.isNotNull())
+    # Most texts hold no first word of a term and stay as they are.
+    possible = F.arrays_overlap(tokens, F.array(*map(F.lit, heads)))
+    return F.when(possible, let(starts, merged)).otherwise(tokens)
+
+
+def leftmost_spans(spans: Column) -> Column:
+    """Of array<struct<i, k>> ordered by place, longest first, those that overlap no earlier one."""
     end = lambda h: h["i"] + h["k"]
-    taken = F.aggregate(
-        hits,
+    return F.aggregate(
+        spans,
         F.array().cast("array<struct<i:int,k:int>>"),
         lambda got, h: F.when(end(F.try_element_at(got, F.lit(-1))) > h["i"], got).otherwise(F.array_append(got, h)),
     )
 
-    def joined(spans: Column) -> Column:
-        def piece(h: Column, r: Column) -> Column:
-            begin = F.coalesce(end(F.get(spans, r - 1)), F.lit(0))
-            return F.concat(F.slice(tokens, begin + 1, h["i"] - begin), F.array(run(h["i"], h["k"])))
 
-        last = end(F.element_at(spans, -1))
-        rest = F.slice(tokens, last + 1, F.size(tokens) - last)
-        return F.when(F.size(spans) == 0, tokens).otherwise(F.concat(F.flatten(F.transform(spans, piece)), rest))
+def merge_spans(tokens: Column, spans: Column) -> Column:
+    """Each span of ``k`` tokens from place ``i`` made one token, words joined by ``_``."""
+    end = lambda h: h["i"] + h["k"]
+
+    def piece(h: Column, r: Column) -> Column:
+        begin = F.coalesce(end(F.get(spans, r - 1)), F.lit(0))
+        joined = F.array_join(F.slice(tokens, h["i"] + 1, h["k"]), "_")
+        return F.concat(F.slice(tokens, begin + 1, h["i"] - begin), F.array(joined))
 
-    merged = F.transform(F.array(taken), joined)[0]
-    return F.when(F.exists(tokens, lambda t: t.isin(heads)), merged).otherwise(tokens)
+    last = end(F.element_at(spans, -1))
+    rest = F.slice(tokens, last + 1, F.size(tokens) - last)
+    return F.when(F.size(spans) == 0, tokens).otherwise(F.concat(F.flatten(F.transform(spans, piece)), rest))
 
 
 def is_term(token: Column, lexicon: Lexicon) -> Column:
@@ -145,29 +159,31 @@ def flatten_newlines(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 
+@cache
 def _ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
-    """Compatibility decompositions to ASCII: one-letter and longer ones."""
+    """Compatibility decompositions to ASCII of all characters: one-letter and longer ones."""
     single, longer = {}, {}
-    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
-        folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode().strip()
+    for ch in map(chr, range(0x80, sys.maxunicode + 1)):
+        # Without a decomposition a character beyond ASCII leaves nothing.
+        if not unicodedata.decomposition(ch):
+            continue
+        folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode().strip()
         if len(folded) == 1 and (folded.isalpha() or folded == "-"):
-            single[chr(code)] = folded
-        elif any(ch.isalpha() or ch == "-" for ch in folded):
-            longer[chr(code)] = folded
+            single[ch] = folded
+        elif any(c.isalpha() or c == "-" for c in folded):
+            longer[ch] = folded
     return single, longer
 
 
-_SINGLE, _LONGER = _ascii_folds()
-
-
 def ascii_fold(c: Column) -> Column:
     """NFKD to ASCII for the characters that decompose to letters or ``-``."""
-    folded = F.translate(c, "".join(_SINGLE), "".join(_SINGLE.values()))
-    table = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
+    single, longer = _ascii_folds()
+    folded = F.translate(c, "".join(single), "".join(single.values()))
+    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
     spelled = F.array_join(
         F.transform(F.split(folded, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
     )
-    return F.when(folded.rlike("[" + "".join(map(re.escape, _LONGER)) + "]"), spelled).otherwise(folded)
+    return F.when(folded.rlike("[" + "".join(map(re.escape, longer)) + "]"), spelled).otherwise(folded)
 
 
 def clean_term(c: Column, collapse_hyphens: bool = False) -> Column:
@@ -187,15 +203,18 @@ def stopped_term(c: Column) -> Column:
     return (F.length(c) <= 2) | c.isin([*params.DIRECTION_STOP, *params.NOISE_STOP])
 
 
-def names_group(term: Column, grp: Column, lexicon: Lexicon, substrings=params.GROUP_SUBSTRINGS) -> Column:
-    """Contains the group's own name or a marker substring, or is a lexicon term.
+def names_group(
+    term: Column, grp: Column, lexicon: Lexicon | None, substrings=params.GROUP_SUBSTRINGS
+) -> Column:
+    """Contains the group's own name or a marker substring, or is a term of the lexicon (if given).
 
     ``_`` is dropped on both sides; blanks in a multiword group name are not.
     """
     t = F.replace(F.lower(term), F.lit("_"), F.lit(""))
     own = F.contains(t, F.replace(F.lower(grp), F.lit("_"), F.lit("")))
     marks = [F.contains(t, F.lit(s)) for s in substrings]
-    return reduce(lambda a, b: a | b, marks, own) | term.isin(list(lexicon.terms))
+    found = reduce(lambda a, b: a | b, marks, own)
+    return found | term.isin(list(lexicon.terms)) if lexicon else found
 
 
 def parse_list(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from epithet import params
 from epithet.functions import text as T
+from epithet.operators.lexicon_table import LexiconTable
 from epithet.params import Lexicon
 
 MODIFIER_KEY = ("grp", "adjs", "verbs", "nouns")
@@ -65,11 +66,15 @@ def parse_text_rows(rows: DataFrame, aliases=params.GROUP_ALIASES) -> DataFrame:
 
 def clean_counts(
     rows: DataFrame,
-    lexicon: Lexicon,
+    lexicon: Lexicon | LexiconTable,
     aliases=params.GROUP_ALIASES,
     substrings=params.GROUP_SUBSTRINGS,
 ) -> DataFrame:
-    """Long-form counts weighted by row count; adjectives and verbs filtered, nouns not."""
+    """Long-form counts weighted by row count; adjectives and verbs filtered, nouns not.
+
+    Terms that a lexicon table holds are taken out by an anti join of the counted terms, after the
+    counts are added up.
+    """
 
     def labelled(pos: str, column: str):
         return F.transform(column, lambda t: F.struct(F.lit(pos).alias("pos"), t.alias("term")))
@@ -78,10 +83,14 @@ def clean_counts(
     long = rows.select(
         T.normalize_group(F.col("grp"), aliases).alias("grp"), "cnt", F.explode(every).alias("x")
     ).select("grp", "x.pos", F.coalesce(T.clean_utf8(F.col("x.term")), F.lit("")).alias("term"), "cnt")
-    term = F.col("term")
-    dropped = T.stopped_term(term) | T.names_group(term, F.col("grp"), lexicon, substrings)
-    kept = long.where((F.col("pos") == "noun") | ~dropped)
-    return kept.groupBy("grp", "pos", "term").agg(F.sum("cnt").alias("cnt"))
+    term, noun = F.col("term"), F.col("pos") == "noun"
+    tabled = isinstance(lexicon, LexiconTable)
+    dropped = T.stopped_term(term) | T.names_group(term, F.col("grp"), None if tabled else lexicon, substrings)
+    counted = long.where(noun | ~dropped).groupBy("grp", "pos", "term").agg(F.sum("cnt").alias("cnt"))
+    if not tabled:
+        return counted
+    named = lexicon.terms.select(F.col("term").alias("named"))
+    return counted.join(named, (F.col("term") == F.col("named")) & ~noun, "left_anti")
 
 
 def screen_terms(terms: DataFrame) -> DataFrame:
@@ -110,16 +119,13 @@ def max_counts(counts: DataFrame, groups: DataFrame, pos: str = "adj") -> DataFr
 
 
 def vocabulary_sizes(counts: DataFrame, everywhere: str = "*") -> DataFrame:
-    """Distinct terms per (group, pos), and per pos over all groups (``grp`` = ``*``)."""
-    per_group = counts.groupBy("grp", "pos").agg(F.count(F.lit(1)).alias("n_terms"))
-    joint = (
-        counts.select("pos", "term")
-        .distinct()
-        .groupBy("pos")
-        .agg(F.count(F.lit(1)).alias("n_terms"))
-        .select(F.lit(everywhere).alias("grp"), "pos", "n_terms")
+    """Distinct terms per (group, pos), and per pos over all groups (``grp`` = ``*``), in one pass."""
+    sets = [[F.col("grp"), F.col("pos")], [F.col("pos")]]
+    sizes = counts.groupingSets(sets, "grp", "pos").agg(
+        F.count_distinct("term").alias("n_terms"), F.grouping("grp").alias("_joint")
     )
-    return per_group.unionByName(joint)
+    named = F.when(F.col("_joint") == 1, F.lit(everywhere)).otherwise(F.col("grp"))
+    return sizes.select(named.alias("grp"), "pos", "n_terms")
 
 
 def counter_maps(counts: DataFrame, shards: int) -> DataFrame:

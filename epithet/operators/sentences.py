@@ -58,7 +58,7 @@ def merge_multiword(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     many = list(lexicon.multiword)
     kept = F.filter(
         _tokenized(F.col("text"), lexicon),
-        lambda s: F.exists(s["tokens"], lambda t: t.isin(many)),
+        lambda s: F.arrays_overlap(s["tokens"], F.array(*map(F.lit, many))),
     )
     return _explode(docs, kept)
 
@@ -120,7 +120,7 @@ def mention_sentences(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             s["sent_id"],
             s["sentence"],
             s["tokens"],
-            F.array_distinct(F.filter(s["tokens"], lambda t: T.is_term(t, lexicon))).alias("overlap"),
+            F.array_intersect(s["tokens"], F.array(*map(F.lit, lexicon.terms))).alias("overlap"),
         ),
     )
     return _explode(docs, F.filter(with_overlap, lambda s: F.size(s["overlap"]) > 0))

@@ -13,9 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lexicon is loaded on the driver, so its size is checked when it is read.
-MAX_LEXICON_TERMS = 100_000
-
 MASK = "[GROUP]"
 WINDOW = 5
 MAX_SENTENCE_WORDS = 120
@@ -187,7 +184,10 @@ def normalize_term(term: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Lower-case group terms; the words of a multiword term are joined by ``_``."""
+    """Lower-case group terms; the words of a multiword term are joined by ``_``.
+
+    A parameter, written into plans.  A lexicon that is a table is a ``LexiconTable``.
+    """
 
     terms: tuple[str, ...]
     always_plural: bool = False  # also add ``s`` to terms that already end in it
@@ -197,15 +197,6 @@ class Lexicon:
         names = {normalize_term(t) for t in terms if t.strip()}
         return cls(tuple(sorted(names)), always_plural)
 
-    @classmethod
-    def from_table(cls, df: DataFrame, column: str = "term") -> Lexicon:
-        """Read a lexicon table; refuses one too large to be a parameter."""
-        rows = df.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
-        found = [r[0] for r in rows.limit(MAX_LEXICON_TERMS + 1).collect()]
-        if len(found) > MAX_LEXICON_TERMS:
-            raise ValueError(f"lexicon has more than {MAX_LEXICON_TERMS} terms")
-        return cls.of(found)
-
     @property
     def multiword(self) -> tuple[str, ...]:
         """Multiword terms, longest first."""

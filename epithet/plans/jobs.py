@@ -8,12 +8,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from epithet import params
-from epithet.operators import annotate, classify, counts, logodds, rules, sentences, similarity, stats
+from epithet.operators import (
+    classify,
+    counts,
+    lexicon_table,
+    logodds,
+    rules,
+    sentences,
+    similarity,
+    stats,
+)
+from epithet.operators.lexicon_table import LexiconTable
 from epithet.params import Lexicon, taxonomy_frame
 from epithet.plans.stages import settle
 from epithet.sources.tables import export_csv, read_table, replace_table, table_path
 
-Annotator = Callable[[DataFrame, Lexicon], DataFrame]
+Annotator = Callable[[DataFrame, Lexicon | LexiconTable], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -21,7 +31,7 @@ class Study:
     """What is measured, and where its tables live."""
 
     root: str
-    lexicon: Lexicon
+    lexicon: Lexicon | LexiconTable
     taxonomy: Sequence[tuple[str, str | None, str | None]] = params.POPULATION_TAXONOMY
     category: str = "asian"
     poses: tuple[str, ...] = logodds.SCORED_POS
@@ -36,29 +46,33 @@ class Study:
 
 def modifiers_of(
     docs: DataFrame,
-    lexicon: Lexicon,
+    lexicon: Lexicon | LexiconTable,
     feed: str = "syntactic",
-    annotator: Annotator = annotate.surface_annotate,
+    annotator: Annotator | None = None,
     model: classify.Classifier | None = None,
     unit: str = "sentence",
 ) -> DataFrame:
     """Modifier sets per unit and group of a document table.
 
     With a model (any function that adds ``prediction`` to masked windows) only sentences whose
-    window it accepts are used.  An annotator adds ``toks`` to mention sentences.  The feed is
-    ``syntactic`` (annotated sentences) or ``window`` (words near the mention).
+    window it accepts are used.  The feed is ``syntactic`` or ``window`` (words near the mention).  The
+    syntactic feed needs an annotator, which adds ``toks`` to mention sentences: the parses of an outside
+    parser (``annotate.external_annotate``) or of a table (``annotate.token_table_annotate``).
     """
-    sents = sentences.mention_sentences(docs, lexicon)
+    if feed not in ("syntactic", "window"):
+        raise ValueError(f"feed must be 'syntactic' or 'window', not {feed!r}")
+    if feed == "syntactic" and annotator is None:
+        raise ValueError("the syntactic feed needs an annotator")
+    tabled = isinstance(lexicon, LexiconTable)
+    sents = (lexicon_table if tabled else sentences).mention_sentences(docs, lexicon)
     if model is not None:
         # Read twice by the model's join, so written once.
         windows = settle(sentences.masked_window(sents, keep=("sentence", "tokens", "overlap")))
         sents = classify.accepted(model(windows)).select(*sents.columns)
     if feed == "syntactic":
         found = rules.collect_modifiers(annotator(sents, lexicon))
-    elif feed == "window":
-        found = rules.window_modifiers(sents, lexicon)
     else:
-        raise ValueError(f"feed must be 'syntactic' or 'window', not {feed!r}")
+        found = rules.window_modifiers(sents)
     return rules.fold_documents(found) if unit == "document" else found
 
 

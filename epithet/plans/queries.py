@@ -14,6 +14,7 @@ from epithet.operators import (
     annotate,
     classify,
     counts,
+    lexicon_table,
     logodds,
     rules,
     sentences,
@@ -52,7 +53,9 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.documents(_table(spark, sf, "documents"))
+    """``spark.epithet.documents.partitions`` says how many tasks should share files that can't be split."""
+    asked = spark.conf.get("spark.epithet.documents.partitions", None)
+    return corpus.documents(_table(spark, sf, "documents"), int(asked) if asked else None)
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,6 +101,10 @@ def _vectors(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
     return keyed.join(vectors, "vec_id").select("text", "vector")
 
 
+def _lexicon_table(spark: SparkSession) -> lexicon_table.LexiconTable:
+    return lexicon_table.LexiconTable.of(local_frame(spark, [(t,) for t in LEX.terms], ("term",)))
+
+
 def _members(spark: SparkSession) -> DataFrame:
     return counts.members(taxonomy_frame(spark))
 
@@ -242,11 +249,36 @@ def group_mentions(spark, sf):
     return sentences.group_mentions(_mentions(spark, sf))
 
 
+@query
+def table_mentions(spark, sf):
+    """The same with the lexicon as a table that is joined."""
+    sents = lexicon_table.mention_sentences(_docs(spark, sf), _lexicon_table(spark))
+    return sentences.group_mentions(sents)
+
+
+@query
+def table_keywords(spark, sf):
+    """Keyword sentences with the lexicon as a table that is joined."""
+    return lexicon_table.keyword_sentences(_docs(spark, sf), _lexicon_table(spark))
+
+
+@query
+def table_examples(spark, sf):
+    """Examples with the lexicon as a table that is joined."""
+    return lexicon_table.find_examples(_docs(spark, sf), _lexicon_table(spark))
+
+
 @query
 def mention_index(spark, sf):
     return sentences.mention_index(_mentions(spark, sf), LEX)
 
 
+@query
+def mention_cache(spark, sf):
+    """Mentions by text, else by lemma."""
+    return variants.mention_cache(_annotated(spark, sf), LEX)
+
+
 @query
 def masked_window(spark, sf):
     return sentences.masked_window(_mentions(spark, sf))
@@ -640,7 +672,7 @@ def _boxes(df: DataFrame, keys: list[str]) -> DataFrame:
 @query
 def boxplot_stats(spark, sf):
     """Box-plot numbers of similarities by category and pos."""
-    return _boxes(settle(_similarities(spark, sf)), ["category", "pos"])
+    return _boxes(_similarities(spark, sf), ["category", "pos"])
 
 
 @query

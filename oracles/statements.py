@@ -159,6 +159,10 @@ STATEMENTS = {
     "mention_index": f"""
         SELECT doc_id, sent_id, i, CASE WHEN tok IN {TERMS} THEN tok ELSE tok[:-2] END AS grp
         FROM mtok WHERE tok IN {SURFACES}""",
+    "mention_cache": f"""
+        SELECT doc_id, sent_id, i, CASE WHEN form IN {TERMS} THEN form ELSE form[:-2] END AS grp
+        FROM (SELECT *, CASE WHEN text IN {SURFACES} THEN text ELSE lemma END AS form FROM ann)
+        WHERE form IN {SURFACES}""",
     "masked_window": WINDOWS,
     "clean_lemmas": f"""
         SELECT doc_id, sent_id, coalesce(string_agg(lemma, ' ' ORDER BY i) FILTER
@@ -347,6 +351,12 @@ STATEMENTS = {
     "boxplot_stats": box("category, pos", "sim"),
     "boxplot_labels": box("label", "(SELECT CAST(label AS BIGINT) AS label, cosine_sim FROM lsim)"),
 }
+# Lexicons as tables give what lexicons as parameters give.
+STATEMENTS |= {
+    "table_mentions": STATEMENTS["group_mentions"],
+    "table_keywords": STATEMENTS["keyword_sentences"],
+    "table_examples": STATEMENTS["example_finder"],
+}
 
 
 def sql() -> dict[str, str]:

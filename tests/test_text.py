@@ -134,7 +134,7 @@ def test_lexicon_plurals():
 
 
 def test_lexicon_table_and_examples(spark):
-    lex = Lexicon.from_table(spark.createDataFrame([("Thai",), ("sri lankan",), (None,)], "term string"))
+    lex = Lexicon.of(["Thai", "sri lankan", " "])
     assert lex.terms == ("sri_lankan", "thai")
     df = docs(spark, "nothing", "first THAI " + "x" * 200, "second thai")
     got = {r.term: r.example for r in tagging.find_examples(df, lex).collect()}
