@@ -167,18 +167,33 @@ def external_annotate(
     return annotate
 
 
+SENTENCE = ("doc_id", "sent_id")
+
+
+def write_token_table(tokens: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Save parsed tokens by sentence: bucketed by (doc_id, sent_id) and sorted within the buckets.
+
+    Whoever gathers sentences from this table, or joins it by sentence, reads the buckets as they lie:
+    the tokens are not shuffled again.  Choose ``buckets`` so that one fits a task.
+    """
+    spread = tokens.repartition(buckets, *SENTENCE)
+    writer = spread.write.mode("overwrite").bucketBy(buckets, *SENTENCE).sortBy(*SENTENCE, "i")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return tokens.sparkSession.table(table)
+
+
 def token_table_annotate(tokens: DataFrame) -> Callable[[DataFrame, Lexicon], DataFrame]:
-    """An annotator for jobs from a table of parsed tokens.
+    """An annotator for jobs from a table of parsed tokens, best one of ``write_token_table``.
 
     ``tokens`` has one row per token: doc_id, sent_id, i, text, lemma, pos, tag, dep, head, ent.
-    A sentence's tokens are gathered in one row; sentences without parses drop out.
+    A sentence's tokens are put in one row; sentences without parses drop out.
     """
     fields = ("i", "text", "lemma", "pos", "tag", "dep", "head", "ent")
-    of_type = F.array_sort(F.collect_list(F.struct(*fields))).cast(TOKEN_TYPE)
-    parsed = tokens.groupBy("doc_id", "sent_id").agg(of_type.alias("toks"))
+    of_type = F.sort_array(F.collect_list(F.struct(*fields))).cast(TOKEN_TYPE)
+    parsed = tokens.groupBy(*SENTENCE).agg(of_type.alias("toks"))
 
     def annotate(sents: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-        return sents.drop("toks").join(parsed, ["doc_id", "sent_id"])
+        return sents.drop("toks").join(parsed, list(SENTENCE))
 
     return annotate
 

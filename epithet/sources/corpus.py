@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from epithet.params import Lexicon
+from epithet.functions.arrays import unnest
+from epithet.operators.lexicon_table import LexiconTable
 
 CORPUS_SCHEMA = "id string, text string, source string"
+CORPUS_FILES = "*.json*.gz"
+# A line that is no JSON object is kept whole in this column.
+BROKEN = "_corrupt_record"
+PARSING = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+# A cut file gives the lines before the cut; ``cut_files`` names it.
+READING = {"ignoreCorruptFiles": "true", "pathGlobFilter": CORPUS_FILES}
 
 CENSUS_COLUMNS = (
     "geo_id", "name", "total", "popgroup", "label", "family", "married_couple",
@@ -19,30 +30,113 @@ CENSUS_COLUMNS = (
 _CENSUS_COUNTS = tuple(c for c in CENSUS_COLUMNS if c not in ("geo_id", "name", "popgroup", "label"))
 
 
+@dataclass(frozen=True)
+class Scan:
+    """What a corpus scan gives: the documents, and an account of what is not in them.
+
+    ``counts`` is filled by the first action that reads ``docs`` to its end: ``counts.get`` has
+    ``lines`` (all that were read) and ``broken``.  ``broken`` (file, line) lists the broken lines and
+    ``cut()`` (file, lines, error) the files that end too early or are no gzip; each is a pass of its
+    own, made only when it is used.
+    """
+
+    docs: DataFrame
+    counts: Observation
+    broken: DataFrame
+    path: str
+
+    def cut(self) -> DataFrame:
+        return cut_files(self.docs.sparkSession, self.path)
+
+
+def scan_corpus(spark: SparkSession, path: str, partitions: int | None = None) -> Scan:
+    """(doc_id, text, source) from gzip JSON lines, and what could not be read.
+
+    Unknown keys are left out.  Gzip files cannot be split: give ``partitions`` when there are fewer
+    files than tasks should run; the rows are then dealt in turn before any text work.
+    """
+    lines = parsed_lines(spark.read.options(**READING).text(path))
+    counts = Observation()
+    seen = lines.observe(counts, F.count(F.lit(1)).alias("lines"), F.count(BROKEN).alias("broken"))
+    docs = seen.where(F.col(BROKEN).isNull()).select("doc_id", "text", "source")
+    broken = lines.where(F.col(BROKEN).isNotNull()).select("file", F.col(BROKEN).alias("line"))
+    return Scan(docs.repartition(partitions) if partitions else docs, counts, broken, path)
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(file, doc_id, text, source, _corrupt_record) of lines that are not blank; each is parsed once."""
+    record = F.from_json("value", f"{CORPUS_SCHEMA}, {BROKEN} string", PARSING)
+    rows = lines.where(F.col("value").rlike(r"\S")).select(
+        F.col("_metadata.file_path").alias("file"), unnest(F.array(record)).alias("r")
+    )
+    return rows.select("file", F.col("r.id").alias("doc_id"), "r.text", "r.source", f"r.{BROKEN}")
+
+
 def read_corpus(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """(doc_id, text, source) from gzip JSON lines; unknown keys and bad lines are skipped.
+    """The documents of ``scan_corpus`` alone, for callers that need no account."""
+    return scan_corpus(spark, path, partitions).docs
+
 
-    Gzip files cannot be split.  Give ``partitions`` when there are fewer files than
-    tasks should run; the rows are then spread by document before any text work.
+def cut_files(spark: SparkSession, path: str, glob: str = CORPUS_FILES) -> DataFrame:
+    """(file, lines, error) of the gzip files that cannot be read to their end.
+
+    ``lines`` counts the whole lines before the damage.  Files are listed by Spark and inflated as
+    streams, one piece at a time; nothing of them is kept.
     """
-    raw = (
-        spark.read.schema(CORPUS_SCHEMA)
-        .option("mode", "DROPMALFORMED")
-        .option("pathGlobFilter", "*.json*.gz")
-        .json(path)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return damaged(listed.select(F.col("_metadata.file_path").alias("file")))
+
+
+def damaged(files: DataFrame) -> DataFrame:
+    """(file, lines, error) of the URIs in ``file`` whose gzip stream is cut or wrong."""
+
+    def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file in batch["file"].to_pylist():
+                lines, error = _inflated(file)
+                if error:
+                    rows.append({"file": file, "lines": lines, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, _DAMAGE)
+
+    n = files.count()
+    return files.select("file").repartitionByRange(max(n, 1), "file").mapInArrow(
+        inflate, "file string, lines bigint, error string"
     )
-    docs = raw.select(F.col("id").alias("doc_id"), "text", "source")
-    return docs.repartition(partitions, "doc_id") if partitions else docs
+
+
+_DAMAGE = pa.schema([("file", pa.string()), ("lines", pa.int64()), ("error", pa.string())])
+
+
+def _inflated(file: str) -> tuple[int, str | None]:
+    """Whole lines of a gzip file, and what is wrong with it."""
+    store, name = fs.FileSystem.from_uri(file)
+    lines, held, unpack = 0, b"", None
+    with store.open_input_stream(name, compression=None) as stream:
+        while True:
+            data = held or stream.read(1 << 18)
+            held = b""
+            if not data:
+                return lines, None if unpack is None else "ends within a member"
+            unpack = unpack or zlib.decompressobj(31)
+            try:
+                lines += unpack.decompress(data).count(b"\n")
+            except zlib.error as error:
+                return lines, str(error)
+            if unpack.eof:
+                held, unpack = unpack.unused_data.lstrip(b"\0"), None
 
 
 def read_corpora(
     spark: SparkSession, paths: Sequence[str], glob: str = "*.jsonl.gz", schema: str | None = None
 ) -> DataFrame:
-    """Several folders as one table: columns united by name, unreadable files skipped.
+    """Several folders as one table: columns united by name.
 
-    Give a ``schema`` for large folders; without one, Spark reads all data to infer it.
+    Give a ``schema`` for large folders; without one, Spark reads all data to infer it.  Lines that are
+    no JSON stand in ``_corrupt_record`` (add it to a schema of your own); a file that is cut gives
+    the lines before the cut, and ``cut_files`` names it.
     """
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", glob)
+    reader = spark.read.options(**{**READING, **PARSING, "pathGlobFilter": glob})
     frames = [(reader.schema(schema) if schema else reader).json(p) for p in paths]
     out = frames[0]
     for frame in frames[1:]:
@@ -50,18 +144,24 @@ def read_corpora(
     return out
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """Projection every text operator starts from; optional columns may be absent."""
+def documents(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Projection every text operator starts from; optional columns may be absent.
+
+    Give ``partitions`` for an input that Spark cannot split into as many tasks as should run (one file
+    of one row group, gzip): its rows are dealt in turn, whatever their keys.  Without it the splits of
+    the files decide, and no text is moved.
+    """
     wanted = [c for c in ("doc_id", "text", "source") if c in df.columns]
-    return df.select(*wanted)
+    docs = df.select(*wanted)
+    return docs.repartition(partitions) if partitions else docs
 
 
-def read_lexicon(spark: SparkSession, path: str, column: str = "term") -> Lexicon:
-    """Lexicon from a parquet table or a CSV file with a header."""
+def read_lexicon(spark: SparkSession, path: str, column: str = "term") -> LexiconTable:
+    """Lexicon from a parquet table or a CSV file with a header, of any size."""
     table = (
         spark.read.option("header", "true").csv(path) if path.endswith(".csv") else spark.read.parquet(path)
     )
-    return Lexicon.from_table(table, column)
+    return LexiconTable.of(table, column)
 
 
 def read_census(spark: SparkSession, path: str) -> DataFrame:
@@ -80,6 +180,6 @@ def census_terms(census: DataFrame) -> DataFrame:
     return named.select(F.lower(F.trim("name")).alias("term")).where("term <> ''").distinct()
 
 
-def census_lexicon(census: DataFrame, taxonomy: DataFrame) -> Lexicon:
+def census_lexicon(census: DataFrame, taxonomy: DataFrame) -> LexiconTable:
     """Lexicon of the census labels and the taxonomy's terms."""
-    return Lexicon.from_table(census_terms(census).union(taxonomy.select("term")))
+    return LexiconTable.of(census_terms(census).union(taxonomy.select("term")))

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from epithet.operators import classify, counts, rules, sentences
+from epithet.operators import annotate, classify, counts, rules, sentences
 from epithet.params import TEST_LEXICON, TEST_TAXONOMY, Lexicon
 from epithet.plans import jobs
 from epithet.streaming import incremental
@@ -39,10 +39,8 @@ def window_rows(df):
 
 def test_order_and_partitioning_do_not_matter(spark, docs):
     shuffled = docs.orderBy(F.rand(3)).repartition(7)
-    for feed in ("window", "syntactic"):
-        first, second = (
-            counts.modifier_rows(jobs.modifiers_of(d, LEX, feed=feed)) for d in (docs, shuffled)
-        )
+    for options in ({"feed": "window"}, {"annotator": annotate.surface_annotate}):
+        first, second = (counts.modifier_rows(jobs.modifiers_of(d, LEX, **options)) for d in (docs, shuffled))
         assert as_set(first) == as_set(second) != []
 
 
@@ -56,6 +54,53 @@ def test_unknown_feed(docs):
         jobs.modifiers_of(docs, LEX, feed="other")
 
 
+def test_syntactic_feed_needs_an_annotator(docs):
+    with pytest.raises(ValueError, match="annotator"):
+        jobs.modifiers_of(docs, LEX)
+
+
+def test_hand_parses_through_the_job(spark, tmp_path):
+    """The hand-parsed sentences as a token table: extraction gives the modifiers they should."""
+    from test_rules import GROUPS, parses
+
+    sents, tokens, expected = [], [], {}
+    for name, wanted, toks in parses():
+        # a document of one sentence, spelled so that splitting and tokenising leave its words alone
+        sents.append((name, " ".join(t[1] for t in toks if t[1].isalnum())))
+        tokens += [(name, 0, *t) for t in toks]
+        expected[name] = wanted
+    rows = spark.createDataFrame(
+        tokens, "doc_id string, sent_id bigint, i int, text string, lemma string, pos string, tag string, dep string, head int, ent string"
+    )
+    table = annotate.write_token_table(rows, "hand_parses", 4, str(tmp_path / "tokens"))
+    docs = spark.createDataFrame(sents, "doc_id string, text string")
+    study = jobs.Study(root=str(tmp_path / "study"), lexicon=GROUPS)
+    found = jobs.modifiers_of(docs, GROUPS, annotator=annotate.token_table_annotate(table))
+    got = {r.doc_id: [r.nouns, r.verbs, r.adjs] for r in found.collect()}
+    compared = {name: w for name, w in expected.items() if name in got}
+    assert len(compared) >= 10 and got == compared
+    stored = jobs.extract(docs, study, annotator=annotate.token_table_annotate(table))
+    assert stored.agg(F.sum("cnt")).first()[0] == sum(1 for w in got.values() if w[1] or w[2])
+
+
+def test_token_table_is_read_as_it_lies(spark, tmp_path):
+    tokens = spark.range(4000).selectExpr(
+        "concat('d', id % 50) AS doc_id", "id div 1000 AS sent_id", "cast(id % 1000 div 50 AS int) AS i", "'thon' AS text",
+        "'thon' AS lemma", "'NOUN' AS pos", "'NN' AS tag", "'dep' AS dep", "0 AS head", "'' AS ent",
+    )
+    table = annotate.write_token_table(tokens, "tokens_by_sentence", 4, str(tmp_path / "tokens"))
+    sents = annotate.parsed_sentences(table, LEX)
+    assert sents.count() == 200 and sents.select(F.size("toks")).distinct().collect()[0][0] == 20
+    parsed = annotate.token_table_annotate(table)(spark.range(0).selectExpr("'a' AS doc_id", "id AS sent_id"))
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("FileScan parquet spark_catalog.default.tokens_by_sentence")
+    between = [line for line in plan[:scan].splitlines() if "Exchange" in line]
+    # at most the sentences move, and they come before the tokens' side of the join
+    side = plan[:scan].rsplit("Join", 1)[1].splitlines()
+    aggregate = next(i for i, line in enumerate(side) if "Aggregate" in line)
+    assert not [line for line in side[aggregate:] if "Exchange" in line], between
+
+
 def test_document_frequency_counts_a_document_once(docs):
     terms = rules.modifier_terms(jobs.modifiers_of(docs, LEX, feed="window"))
     most = counts.document_frequency(terms).agg(F.max("cnt")).first()[0]
@@ -143,6 +188,61 @@ def test_retried_batch_replaces_its_partials(spark, docs, tmp_path):
     assert incremental.progress(spark, str(tmp_path)).collect()[0].docs_seen == 60
 
 
+def as_totals(spark, root):
+    return as_set(incremental.modifier_totals(spark, str(root)))
+
+
+def test_compaction_counts_every_batch_once(spark, docs, tmp_path, monkeypatch):
+    def extract(d):
+        return jobs.modifiers_of(d, LEX, feed="window")
+
+    root, parts = str(tmp_path), docs.randomSplit([1.0] * 4, seed=3)
+    for i, part in enumerate(parts[:3]):
+        incremental.write_batch(part, i, root, extract)
+    before = as_totals(spark, root)
+    # a crash after the base is written, before it is current: nothing has changed
+    monkeypatch.setattr(incremental.tables, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        incremental.compact(spark, root)
+    monkeypatch.undo()
+    assert as_totals(spark, root) == before
+    # a crash after it is current, before the partials are removed: still counted once
+    monkeypatch.setattr(incremental.tables, "remove", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        incremental.compact(spark, root)
+    monkeypatch.undo()
+    assert as_totals(spark, root) == before
+    # a retried batch that the base counts already is ignored
+    incremental.write_batch(parts[2], 2, root, extract)
+    assert as_totals(spark, root) == before
+    assert incremental.compact(spark, root) == 2 and as_totals(spark, root) == before
+    assert not list((tmp_path / incremental.PARTIALS).glob("batch_id=*"))
+    incremental.write_batch(parts[3], 3, root, extract)
+    assert as_totals(spark, root) == as_set(window_rows(docs))
+    assert incremental.compact(spark, root) == 3 and incremental.compact(spark, root) == 3
+    assert as_totals(spark, root) == as_set(window_rows(docs))
+    plan = incremental.modifier_totals(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1  # the base alone, however many batches there were
+
+
+def test_stream_accounts_for_losses(spark, tmp_path):
+    source, root, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "cp"
+    source.mkdir()
+    write_files(source, make_docs(20), 1)
+    with gzip.open(source / "part-00001.jsonl.gz", "wt") as f:
+        f.write(json.dumps({"id": "x", "text": "thon walked."}) + "\n{broken\n\nno json\n")
+    whole = gzip.compress(("".join(json.dumps({"id": f"c{i}", "text": f"{i} " * 300}) + "\n" for i in range(4000))).encode())
+    (source / "part-00002.jsonl.gz").write_bytes(whole[: len(whole) // 2])
+    run_stream(spark, source, root, checkpoint, max_files=2)
+    done = incremental.progress(spark, str(root))
+    lost = spark.read.parquet(str(root / incremental.LOST)).where(~F.col("file").contains("00002"))
+    assert sorted(r.line for r in lost.collect()) == ["no json", "{broken"]
+    assert done.agg(F.sum("lines_lost")).first()[0] in (2, 3)
+    (cut,) = spark.read.parquet(str(root / incremental.CUT)).collect()
+    assert cut.file.endswith("part-00002.jsonl.gz") and 0 < cut.lines < 4000
+    assert done.agg(F.sum("docs_seen")).first()[0] >= 21
+
+
 def test_hot_group_spreads(spark):
     """A group holding most mentions is aggregated per term, and nothing is lost."""
     rows = [(i, f"thon walked w{100 + i % 500} rentable") for i in range(3000)] + [(9999, "ther walked bold")]
