@@ -155,9 +155,13 @@ def corpus_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
 def target_pairs(counts: DataFrame, targets: Sequence[str]) -> DataFrame:
     """(pos, term, c1, c2): pooled target groups against all other groups.
 
-    A pos in which a target has no counts yields no rows.
+    A target that no row of ``counts`` names is an error; a pos in which a target has no counts yields
+    no rows.
     """
     targets = sorted(set(targets))
+    found = {r[0] for r in counts.where(F.col("grp").isin(targets)).select("grp").distinct().collect()}
+    if missing := sorted(set(targets) - found):
+        raise ValueError(f"no counts of {', '.join(missing)}")
     is_target = F.col("grp").isin(targets)
     present = (
         counts.where(is_target)

@@ -5,7 +5,7 @@ Vectors come from a table (text, vector); no model is run here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epithet.functions.vectors import dot, has_direction, mean_pool, norm
@@ -74,16 +74,31 @@ def document_vectors(
 
 
 def category_contrast(
-    group_vectors: DataFrame, category_vectors: DataFrame, members: DataFrame
+    group_vectors: DataFrame, category_vectors: DataFrame, members: DataFrame, salts: int = 64
 ) -> DataFrame:
     """(grp, category, category_type, pos, cosine_sim): each group against every category.
 
-    Groups whose own category has no document are left out.  The output is groups
-    times categories of one pos, both bounded by the taxonomy.
+    Groups whose own category has no document are left out.  The category vectors of a pos are one
+    matrix row (categories are bounded by the taxonomy), and a group takes its products with all of them
+    in its own row.  Groups are spread over ``salts`` copies of the matrix, so a pos is not one task.
     """
-    own = group_vectors.join(members.withColumnRenamed("category", "own"), "grp")
-    known = category_vectors.select(F.col("category").alias("own"), "pos")
-    placed = own.join(known, ["own", "pos"], "left_semi")
-    sims = cosine_to(placed, category_vectors.select("category", "pos", "vector"), "pos")
-    kind = F.when(F.col("category") == F.col("own"), "own").otherwise("other")
-    return sims.select("grp", "category", kind.alias("category_type"), "pos", "cosine_sim")
+    vector = F.col("vector")
+    length = F.when(has_direction(vector), norm(vector))
+    rows = category_vectors.select("pos", F.struct("category", "vector", length.alias("norm")).alias("c"))
+    matrix = rows.groupBy("pos").agg(F.collect_list("c").alias("matrix"))
+    copies = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = group_vectors.join(members.withColumnRenamed("category", "own"), "grp").where(has_direction(vector))
+    placed = own.withColumns({"norm": norm(vector), "salt": F.pmod(F.hash("grp"), F.lit(salts))})
+    met = placed.join(copies, ["pos", "salt"])
+
+    def product(c: Column) -> Column:
+        kind = F.when(c["category"] == F.col("own"), "own").otherwise("other")
+        sim = dot(vector, c["vector"]) / (F.col("norm") * c["norm"])
+        return F.struct(c["category"].alias("category"), kind.alias("category_type"), sim.alias("cosine_sim"))
+
+    known = F.exists("matrix", lambda c: c["category"] == F.col("own"))
+    directed = F.filter("matrix", lambda c: c["norm"].isNotNull())
+    products = F.when(known, F.transform(directed, product))
+    return met.select("grp", "pos", F.explode(products).alias("p")).select(
+        "grp", "p.category", "p.category_type", "pos", "p.cosine_sim"
+    )

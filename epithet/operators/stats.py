@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from epithet.functions.quantiles import exact_quantiles
 from epithet.functions.student_t import log_p_value, p_text
+from epithet.plans.stages import settle
 
 NAN = float("nan")
 
@@ -141,7 +142,8 @@ def alignment_contrast(contrast: DataFrame) -> DataFrame:
 
 
 def boxplot_table(df: DataFrame, keys: Sequence[str], value: str = "cosine_sim") -> DataFrame:
-    """Quartiles, whiskers (last value within 1.5 IQR) and outliers per key."""
+    """Quartiles, whiskers (last value within 1.5 IQR) and outliers per key; the values are settled."""
+    df = settle(df.select(*keys, value))
     quartiles = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     rows = df.select(*keys, F.col(value).alias("_x")).where(F.col("_x").isNotNull())
     reach = 1.5 * (F.col("q3") - F.col("q1"))

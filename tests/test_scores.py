@@ -112,9 +112,10 @@ def test_two_sided_log_odds(spark):
     assert [(r.side, r.term) for r in sorted(ends, key=lambda r: r.side)] == [(1, "a"), (2, "b")]
 
 
-def test_missing_target_group_gives_nothing(spark):
+def test_missing_target_group_is_an_error(spark):
     df = spark.createDataFrame(random_counts(), COUNTS)
-    assert logodds.target_pairs(df, ["a", "nobody"]).collect() == []
+    with pytest.raises(ValueError, match="nobody"):
+        logodds.target_pairs(df, ["a", "nobody"])
     pairs = logodds.target_pairs(df, ["a", "b"])
     total = pairs.agg(F.sum(F.col("c1") + F.col("c2"))).first()[0]
     assert total == df.agg(F.sum("cnt")).first()[0]
@@ -141,6 +142,43 @@ def test_exact_quantiles(spark, buckets):
             assert got[k][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
+def test_quantiles_of_a_large_key_refine_their_range(spark):
+    """One key with most rows: ranges narrow until a window ranks few values, and nothing is lost."""
+    rows = spark.range(200_000).selectExpr("if(id < 199000, 'hot', concat('k', id % 7)) AS k", "cast(pmod(id * 7919, 200003) AS double) AS v")
+    probs = {"low": 0.001, "q1": 0.25, "mid": 0.5, "q3": 0.75, "high": 0.9999}
+    got = {r.k: r for r in exact_quantiles(rows, ["k"], "v", probs, buckets=8, few=50).collect()}
+    data = {}
+    for r in rows.collect():
+        data.setdefault(r.k, []).append(r.v)
+    assert got.keys() == data.keys()
+    for k, values in data.items():
+        for name, p in probs.items():
+            assert got[k][name] == pytest.approx(np.quantile(values, p), abs=1e-9)
+
+
+def test_contrast_equals_comparing_each_pair(spark):
+    rng = np.random.default_rng(1)
+    vec = lambda: [float(x) for x in rng.normal(size=5)]
+    groups = [(f"g{i}", pos, vec()) for i in range(6) for pos in ("adj", "verb")] + [("g6", "adj", [0.0] * 5), ("g7", "adj", vec())]
+    cats = [(f"c{i}", pos, vec()) for i in range(3) for pos in ("adj", "verb")] + [("c3", "adj", [0.0] * 5)]
+    members = [(f"g{i}", f"c{i % 4}") for i in range(7)] + [("g7", "none")]
+    out = similarity.category_contrast(
+        spark.createDataFrame(groups, "grp string, pos string, vector array<double>"),
+        spark.createDataFrame(cats, "category string, pos string, vector array<double>"),
+        spark.createDataFrame(members, "grp string, category string"),
+        salts=3,
+    )
+    own, known = dict(members), {(c, p) for c, p, _ in cats}
+    expected = {}
+    for g, pos, a in groups:
+        for c, p, b in cats:
+            if p == pos and (own[g], pos) in known and any(a) and any(b):
+                cos = np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+                expected[g, c, "own" if c == own[g] else "other", pos] = cos
+    got = {(r.grp, r.category, r.category_type, r.pos): r.cosine_sim for r in out.collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(v) for k, v in expected.items())
+
+
 def test_student_t_closed_forms(spark):
     cases = [(1.0, 1, 0.5), (math.sqrt(2), 2, 1 - math.sqrt(2) / 2), (0.0, 5, 1.0)]
     cases += [(t, 1, 1 - 2 / math.pi * math.atan(t)) for t in (0.1, 3.0, 50.0)]
