@@ -3,9 +3,14 @@
 A count c is stored as its quantised level 1 + floor(log c) to base 1.5: the filter holds the pairs
 (n-gram, 1) up to (n-gram, level), and probing level after level until one is missing reads it
 back.  The filter lies in segments, one per bucket of n-grams, with a fixed number of bits for each
-entry, so it grows with the corpus.  No task holds more than one segment: texts go in chunks, the
-distinct n-grams of a chunk go to their buckets once, to be counted and then probed, and what the
-buckets reply meets the chunk's texts again.  The levels give interpolated bigram probabilities.
+entry, so it grows with the corpus.  That is why it is not broadcast, as the method would have it: a
+filter that holds what a corpus of any size asks for has no size bound.  No task holds more than one
+segment; there are as many as the text asks for.  Texts go in chunks, the distinct n-grams of a chunk
+go to their buckets once, to be counted and then probed, and what the buckets reply meets the chunk's
+texts again.
+
+The probability of a word backs off from three words to two to one: the discounted share of the longer
+n-gram in its context, and the discount's mass on the shorter one.
 
 The base score uses exact word counts, which come with the replies.
 """
@@ -24,12 +29,11 @@ from pyspark.sql import functions as F
 
 from epithet.llm.common import mix, remainder5, stage, word_hashes
 
-HEAD = 1 << 20  # unused: exact counts of all words come with the replies
-ROW_BITS = 1 << 33  # what one row can hold; a segment that needs more is an error
-BITS_PER_ENTRY, PROBES, BASE = 10, 4, 1.5
-BIGRAM_WEIGHT = 0.3
+BITS_PER_ENTRY, PROBES, BASE = 16, 6, 1.5
+ORDER = 3  # longest n-grams
+DISCOUNT = 0.75  # taken off every count above one word
+BUCKET_BYTES = 16 << 20  # of text: a bucket counts about as many n-grams as such a text has
 FLUSH = 12 << 20  # bytes of text in a chunk, and the rest of its last text
-SLICE = 1 << 18
 END = np.uint64(0x5851F42D4C957F2D)  # stands before the first word and after the last
 _LOW40 = np.uint64((1 << 40) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -40,9 +44,26 @@ def tokens_of(text: str | None) -> np.ndarray:
     return np.append(word_hashes((text or "").encode()), END)
 
 
-def bigrams_of(tokens: np.ndarray) -> np.ndarray:
-    """A key for each token and the one before it; the first follows an end."""
-    return mix(np.append(END, tokens[:-1]) * _STEP + tokens)
+def grams_of(tokens: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams that end at each token: all of two words, then all of three, and so on.
+
+    Before the first token of a text stand ends.
+    """
+    keys, longer = tokens, []
+    for n in range(2, ORDER + 1):
+        # The n-gram at a token is the shorter one at the token before, and this token.
+        before = np.append(_ends(n - 1), keys[:-1])
+        keys = mix(before * _STEP + tokens + np.uint64(n))
+        longer.append(keys)
+    return np.concatenate(longer)
+
+
+def _ends(n: int) -> np.ndarray:
+    """The key of ``n`` ends."""
+    key = np.array([END])
+    for k in range(2, n + 1):
+        key = mix(key * _STEP + END + np.uint64(k))
+    return key
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -64,12 +85,10 @@ def _places(keys: np.ndarray, level: int, bits: np.ndarray) -> np.ndarray:
     return (first[None, :] + steps * second[None, :]) % bits.astype(np.uint64)
 
 
-def fill_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int = ROW_BITS) -> bytes:
+def fill_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A bucket's segment: all levels of its n-grams."""
     levels = levels_of(counts) if len(counts) else np.zeros(0, np.int64)
     bits = max(64, BITS_PER_ENTRY * int(levels.sum())) // 8 * 8
-    if bits > most_bits:
-        raise ValueError(f"a segment of {bits} bits: raise spark.sql.shuffle.partitions")
     segment = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         held = keys[levels >= level]
@@ -132,6 +151,17 @@ def _unpack40(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count, and four more for each that is 255 or above; most are 1."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes()
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u4", offset=n)
+    return counts
+
+
 def _sum(keys: np.ndarray) -> int:
     """A check that both passes over a chunk have met the same n-grams."""
     return int((keys & _LOW40).sum(dtype=np.uint64))
@@ -185,20 +215,21 @@ def _partial_counts(rows: DataFrame, buckets: int) -> DataFrame:
 
     def flush(chunk: int, texts: list[np.ndarray], trained: list[bool], asked: bool) -> pa.RecordBatch:
         tokens = np.concatenate(texts)
-        pairs = np.concatenate([bigrams_of(t) for t in texts])
-        counted = np.repeat(np.array(trained, bool), [len(t) for t in texts])
+        pairs = np.concatenate([grams_of(t) for t in texts])
+        lengths = np.array([len(t) for t in texts])
         parts = []
-        for keys in (tokens, pairs):
+        for keys, each in ((tokens, lengths), (pairs, (ORDER - 1) * lengths)):
+            counted = np.repeat(np.array(trained, bool), each)
             distinct, place = np.unique(keys, return_inverse=True)
-            counts = np.bincount(place[counted], minlength=len(distinct)).astype("<u4")
+            counts = np.bincount(place[counted], minlength=len(distinct))
             order, ends = _by_bucket(distinct, buckets)
             parts.append((distinct[order], counts[order], ends))
         (w, wn, we), (p, pn, pe) = parts
         out = [
             (
                 b, chunk, asked,
-                w[we[b] : we[b + 1]].astype("<u8").tobytes(), wn[we[b] : we[b + 1]].tobytes(),
-                _pack40(p[pe[b] : pe[b + 1]]), pn[pe[b] : pe[b + 1]].tobytes(),
+                w[we[b] : we[b + 1]].astype("<u8").tobytes(), _pack_counts(wn[we[b] : we[b + 1]]),
+                _pack40(p[pe[b] : pe[b + 1]]), _pack_counts(pn[pe[b] : pe[b + 1]]),
             )
             for b in range(buckets)
             if we[b] < we[b + 1] or pe[b] < pe[b + 1]
@@ -225,14 +256,14 @@ def _replies(partial: DataFrame, buckets: int) -> DataFrame:
     """What each bucket answers each chunk, and a row without chunk with the bucket's sizes.
 
     A bucket sums the counts of its n-grams, fills its segment and probes it with all of them.  The
-    words of a chunk get their exact counts and levels, its bigrams their levels.
+    words of a chunk get their exact counts and levels, its longer n-grams their levels.
     """
 
     def answer(bucket: int, held: list[list]) -> Iterator[pa.RecordBatch]:
         def summed(keys: list[np.ndarray], i: int) -> tuple[np.ndarray, ...]:
             every, ends = np.concatenate(keys), np.cumsum([0, *map(len, keys)])
             distinct, place = np.unique(every, return_inverse=True)
-            weights = np.concatenate([np.frombuffer(h[i], "<u4") for h in held])
+            weights = np.concatenate([_unpack_counts(h[i], len(k)) for h, k in zip(held, keys, strict=True)])
             return distinct, place, ends, np.bincount(place, weights, len(distinct)).astype(np.int64)
 
         asked_words = [np.frombuffer(h[2], "<u8") for h in held]
@@ -276,7 +307,7 @@ def _score_chunk(model: Model, buckets: int, texts: list[np.ndarray], replies: l
     lengths = np.array([len(t) for t in texts])
     starts = np.cumsum(lengths) - lengths
     words, place = np.unique(tokens, return_inverse=True)
-    keys, key_place = np.unique(np.concatenate([bigrams_of(t) for t in texts]), return_inverse=True)
+    keys, key_place = np.unique(np.concatenate([grams_of(t) for t in texts]), return_inverse=True)
     replies = sorted(replies, key=lambda r: r[0])
     if sum(r[1] for r in replies) % (1 << 62) != (_sum(words) + _sum(keys)) % (1 << 62):
         raise RuntimeError("two passes over the texts met them in different order: write them to a table first")
@@ -289,15 +320,22 @@ def _score_chunk(model: Model, buckets: int, texts: list[np.ndarray], replies: l
     exact = gathered(words, 2, "<u8").astype(np.int64)
     guess = count_of(gathered(words, 3, "u1"))
     joint = count_of(gathered(keys, 4, "u1"))
-    base, alone, context = model.log_base(exact), 10 ** model.log_base(guess), np.maximum(guess, 1.0)
-    before = np.append(0, place[:-1])
-    before[starts] = np.searchsorted(words, END)
-    score = np.empty(len(tokens))
-    for i in range(0, len(tokens), SLICE):
-        at = slice(i, i + SLICE)
-        both = joint[key_place[at]]
-        both = np.minimum(both / np.maximum(context[before[at]], both), 1.0)
-        score[at] = np.log10(BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * alone[place[at]])
+    base = model.log_base(exact)
+    # Places of each text's n-grams of one length, text after text.
+    by_text = np.split(key_place, np.cumsum((ORDER - 1) * lengths)[:-1])
+    ends = guess[np.searchsorted(words, END)]
+    share = (10 ** model.log_base(guess))[place]
+    context = guess[place]
+    for n in range(ORDER - 1):
+        own = joint[np.concatenate([p[n * size : (n + 1) * size] for p, size in zip(by_text, lengths, strict=True)])]
+        # The context of a token is the shorter n-gram at the token before; before a text stand ends.
+        before = np.append(0.0, context[:-1])
+        before[starts] = ends
+        seen = np.maximum(before, own)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            backed = np.maximum(own - DISCOUNT, 0.0) / seen + DISCOUNT * share
+        share, context = np.where(seen > 0, backed, share), own
+    score = np.log10(share)
     summed = lambda x: np.add.reduceat(x, starts)
     return lengths, summed((exact > 0)[place].astype(np.int64)), summed(base[place]), summed(score)
 
@@ -308,7 +346,8 @@ def _scores(rows: DataFrame) -> DataFrame:
     ``rows`` has doc_id, text, trained and asked.  It is read twice and has to give its rows in the
     same order, as files do; otherwise the query stops.
     """
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes // BUCKET_BYTES)
     kind = rows.schema["doc_id"].dataType.simpleString()
     replies = stage(_replies(_partial_counts(rows, buckets), buckets), "lm-replies")
     sizes = replies.agg(F.sum("tokens"), F.sum("distinct")).first()
@@ -372,7 +411,8 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     A null or empty text has one token, its end.  Words that training lacks count 0.  With no
-    training text the model knows nothing: N and V are 0 and every token gets the same share.
+    training text the model knows nothing: N and V are 0 and every token gets the same share.  Repeated
+    rows count as often as they stand, in training and in the result; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType
     asked = docs.select("doc_id", "text", F.lit(False).alias("trained"), F.lit(True).alias("asked"))
@@ -383,7 +423,10 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
-    """Scores of all documents by a model of those whose crc32(doc_id as text) mod 5 is not 1."""
+    """Scores of all documents by a model of those whose crc32(doc_id as text) mod 5 is not 1.
+
+    A null id is a training row.  See ``score_documents`` for nulls, repeats and empty tables.
+    """
     held = F.coalesce(remainder5() == 1, F.lit(False))
     rows = docs.select("doc_id", "text", (~held).alias("trained"), F.lit(True).alias("asked"))
     return _scores(rows).select("doc_id", (~F.col("trained")).alias("held_out"), *_COLUMNS)

@@ -88,9 +88,7 @@ def brute(rows):
         yield i, len(own), sum(count[w] > 0 for w in own), n, base
 
 
-@pytest.mark.parametrize("head", [1 << 20, 16, 0])
-def test_base_score_is_exact(make_docs, monkeypatch, head):
-    monkeypatch.setattr(lm_scoring, "HEAD", head)
+def test_base_score_is_exact(make_docs):
     texts = [*ODD, *[prose(i, 10 + i % 60) for i in range(150)], prose(1, 90), prose(1, 90), "only here twice " * 30]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a null id")]
     docs = make_docs([(*r, "s") for r in rows], ["1 AS word", "2 AS score", "3 AS rare"])
@@ -121,7 +119,6 @@ def test_model_beats_unigrams_on_held_out_text(make_docs):
 def test_slices_change_nothing(make_docs, monkeypatch):
     docs = make_docs([prose(i, 40 * (1 + i % 5)) for i in range(30)])
     whole = {r.doc_id: r.score for r in lm_scoring.held_out_scores(docs).collect()}
-    monkeypatch.setattr(lm_scoring, "SLICE", 7)
     monkeypatch.setattr(lm_scoring, "FLUSH", 11)
     assert {r.doc_id: r.score for r in lm_scoring.held_out_scores(docs).collect()} == pytest.approx(whole)
 
@@ -130,7 +127,7 @@ def test_filter_reads_back_quantised_counts():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
     counts = np.ceil(rng.pareto(0.7, len(keys)) + 0.5).astype(np.int64)
-    segment = lm_scoring.fill_segment(keys, counts, 1 << 30)
+    segment = lm_scoring.fill_segment(keys, counts)
     data = np.frombuffer(segment, np.uint8)
     held = lm_scoring.CountFilter(data, np.zeros(1, np.int64), np.array([8 * len(data)]))
     exact = lm_scoring.count_of(lm_scoring.levels_of(counts))
@@ -141,28 +138,61 @@ def test_filter_reads_back_quantised_counts():
     assert (np.abs(exact - counts) <= 0.34 * counts + 0.5).all()
 
 
-def level_scores(rows, least):
-    """Scores by exact levels of all words and of the bigrams seen ``least`` times or more."""
-    level = lambda n: lm_scoring.count_of(lm_scoring.levels_of(np.array([n])))[0] if n else 0.0
-    texts = {i: ["<end>", *(t or "").split(), "<end>"] for i, t in rows}
-    trained = [w for i, w in texts.items() if rem(i) != 1]
-    count = Counter(x for w in trained for x in w[1:])
-    pairs = Counter(p for w in trained for p in zip(w, w[1:]))
-    whole = sum(count.values()) + 0.5 * (len(count) + 1)
-    for i, w in texts.items():
-        total = 0.0
-        for a, b in zip(w, w[1:]):
-            joint = level(pairs[a, b]) if pairs[a, b] >= least else 0.0
-            both = min(joint / max(level(count[a]), joint, 1), 1)
-            total += math.log10(0.3 * both + 0.7 * (level(count[b]) + 0.5) / whole)
-        yield i, total
+def level_scores(rows, least=1):
+    """Scores by exact levels of all words and of the longer n-grams seen ``least`` times or more."""
+    level = lambda n: float(lm_scoring.count_of(lm_scoring.levels_of(np.array([n])))[0]) if n else 0.0
+    end = "<end>"
+    texts = {i: [*(t or "").split(), end] for i, t in rows}
+    seen = Counter()
+    for i, words in texts.items():
+        if rem(i) != 1:
+            padded = [end, end, *words]
+            for at in range(2, len(padded)):
+                seen.update(tuple(padded[at - n : at + 1]) for n in range(3))
+    distinct, total = (f(n for g, n in seen.items() if len(g) == 1) for f in (lambda x: len(list(x)), sum))
+    count = lambda g: level(seen[g]) if len(g) == 1 or seen[g] >= least else 0.0
+    for i, words in texts.items():
+        padded, score = [end, end, *words], 0.0
+        for at in range(2, len(padded)):
+            share = (count((padded[at],)) + 0.5) / (total + 0.5 * (distinct + 1))
+            for n in (1, 2):
+                own = count(tuple(padded[at - n : at + 1]))
+                context = count((end,)) if at == 2 else count(tuple(padded[at - n : at]))
+                top = max(own, context)
+                share = max(own - 0.75, 0) / top + 0.75 * share if top else share
+            score += math.log10(share)
+        yield i, score
+
+
+def test_score_equals_exact_counts(make_docs):
+    """Off by what the filter reads too high, about one n-gram in a hundred."""
+    rows = [(i, prose(i % 50, 40 + i % 7).lower()) for i in range(120)] + [(500, ""), (501, None), (502, "alone")]
+    got = {r.doc_id: r.score for r in lm_scoring.held_out_scores(make_docs([(*r, "s") for r in rows])).collect()}
+    exact = dict(level_scores(rows))
+    assert got.keys() == exact.keys()
+    off = [abs(got[i] - exact[i]) / len((t or "").split() or [1]) for i, t in rows]
+    assert max(off) < 0.2 and sorted(off)[len(off) // 2] < 0.02
+
+
+def test_texts_seen_twice_stand_out(make_docs):
+    """Training texts that occur twice score higher per token than nearly all that occur once."""
+    rows = [(i, prose(i, 60 + i % 90).lower()) for i in range(400)]
+    again = [(1000 + i, t) for i, t in rows[:60]]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_scoring.held_out_scores(make_docs([(*r, "s") for r in rows + again])).collect()}
+    trained = [i for i, _ in rows if rem(i) != 1]
+    twice = [got[i] for i in trained if i < 60 and rem(1000 + i) != 1]
+    single = sorted(got[i] for i in trained if i >= 60)
+    held = [got[i] for i, _ in rows if i >= 60 and rem(i) == 1]
+    limit = single[int(0.95 * len(single))]
+    assert sum(s > limit for s in twice) >= 0.9 * len(twice) > 0
+    assert max(held) < min(single)
 
 
 def test_filter_grows_with_the_corpus(make_docs, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "MAX_BITS", 1 << 12, raising=False)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1 << 10)
     texts = [prose(i // 10, 60).lower() for i in range(300)]  # ten copies: every bigram is seen often
     got = {r.doc_id: r.score for r in lm_scoring.held_out_scores(make_docs(texts)).collect()}
-    for i, score in level_scores(enumerate(texts), 2):
+    for i, score in level_scores(list(enumerate(texts))):
         assert got[i] == pytest.approx(score, abs=3)
 
 
