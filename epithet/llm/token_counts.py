@@ -1,97 +1,100 @@
 """Token counts of documents in flat token files that have no index.
 
-A flat file is a run of fixed-width token ids in which a reserved id ends each document.  Files are
-cut into blocks; a vectorised comparison finds the separators of a block, and a prefix scan over
-one short row per block stitches the documents that cross block borders.
+A flat file is a run of fixed-width token ids in which a reserved id ends each document.  Files of any
+size are read in byte ranges, each with a seek of its own; a vectorised comparison finds the separators
+of a block, and a prefix scan over one short row per block stitches the documents that cross block
+borders.  What comes out are documents by file and ordinal.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epithet.llm.common import stage, word_hashes
+from epithet.llm.common import in_slices, shared_root, stage, word_hashes
 
 BLOCK_BYTES = 1 << 20
 # Hashed word ids of the registered query: 0 to 65,534 are words, the last number ends a document.
 WORD_IDS, END_OF_DOCUMENT, DTYPE = 65_535, 65_535, "<u2"
 
 
-def flat_blocks(spark: SparkSession, path: str, dtype: str = DTYPE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, tokens) of flat files on any store that Spark reads, each file below 2 GB."""
+def flat_blocks(files: DataFrame, dtype: str = DTYPE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(file, block, tokens) of the flat files in ``files`` (file: a URI, length in bytes).
+
+    A row for each range of a file is dealt to the tasks, which read it from there; ranges are whole
+    tokens, and a last token that is cut is left out.
+    """
     width = np.dtype(dtype).itemsize
     size = max(width, block_bytes // width * width)
+    whole = F.col("length") - F.col("length") % width
+    starts = F.filter(F.sequence(F.lit(0).cast("long"), whole, F.lit(size).cast("long")), lambda at: at < whole)
+    ranges = files.select("file", "length", F.explode(starts).alias("start"))
+    ranges = ranges.select("file", "start", F.least(F.lit(size).cast("long"), whole - F.col("start")).alias("size"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                view = memoryview(content.as_buffer())
-                for number, start in enumerate(range(0, len(view), size)):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([name.as_py()]),
-                            pa.array([number], pa.int64()),
-                            pa.array([bytes(view[start : start + size])], pa.binary()),
-                        ],
-                        ["file", "block", "tokens"],
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(cut, "file string, block bigint, tokens binary")
-
-
-def word_id_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as blocks of one flat file per task, with the ids of those that end in each block.
-
-    (file, block, tokens, ends).  Blocks may end inside a document.  A null text has no tokens.
+            for file, start, n in zip(*(batch[c].to_pylist() for c in ("file", "start", "size")), strict=True):
+                store, name = fs.FileSystem.from_uri(file)
+                with store.open_input_file(name) as opened:
+                    tokens = opened.read_at(n, start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file]), pa.array([start // size], pa.int64()), pa.array([tokens], pa.binary())],
+                    ["file", "block", "tokens"],
+                )
+
+    n = ranges.sparkSession.sparkContext.defaultParallelism
+    spread = ranges.repartition(max(n, int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file", "start")
+    return spread.mapInArrow(read, "file string, block bigint, tokens binary")
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of the files in a folder or glob, as Spark lists them; none is read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("_metadata.file_path").alias("file"), "length")
+
+
+def write_flat(docs: DataFrame, folder: str) -> DataFrame:
+    """Write the word ids of the documents as flat files in ``folder``.
+
+    Gives rows of two kinds: (file, ordinal, doc_id) for each document, and (file, length) for each file.
+    The files hold ids and separators alone.  A task names its files itself, so what a lost task wrote
+    is in no row.  A null text has no tokens.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    size = max(1, block_bytes // 2)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = f"part-{TaskContext.get().partitionId():06d}"
-        held: list[np.ndarray] = []
-        ends: list[tuple[int, object]] = []  # tokens before the end of a document, its id
-        length = number = 0
-
-        def block(tokens: np.ndarray, named: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([file]),
-                    pa.array([number], pa.int64()),
-                    pa.array([tokens.tobytes()], pa.binary()),
-                    pa.array([named], pa.list_(arrow_kind)),
-                ],
-                ["file", "block", "tokens", "ends"],
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        name, out, length, ordinal = f"{folder}/{uuid.uuid4().hex}.tokens", None, 0, 0
+        for batch in in_slices(batches, 256):
+            if out is None:
+                out = store.open_output_stream(f"{top}/{name.rsplit('/', 1)[1]}", compression=None)
+            for text in batch["text"]:
+                ids = (word_hashes((text.as_py() or "").encode()) % np.uint64(WORD_IDS)).astype(DTYPE)
+                data = np.append(ids, np.array([END_OF_DOCUMENT], DTYPE)).tobytes()
+                out.write(data)
+                length += len(data)
+            n = batch.num_rows
+            ids = batch["doc_id"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), ids, pa.nulls(n, pa.int64())],
+                ["file", "ordinal", "doc_id", "length"],
+            )
+            ordinal += n
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.nulls(1, pa.int64()), pa.nulls(1, ids.type), pa.array([length], pa.int64())],
+                ["file", "ordinal", "doc_id", "length"],
             )
 
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (word_hashes((text.as_py() or "").encode()) % np.uint64(WORD_IDS)).astype(DTYPE)
-                held += [ids, np.array([END_OF_DOCUMENT], DTYPE)]
-                length += len(ids) + 1
-                ends.append((length, doc.as_py()))
-                if length >= size:
-                    run = np.concatenate(held)
-                    full = length // size * size
-                    for start in range(0, full, size):
-                        here = [d for at, d in ends if start < at <= start + size]
-                        yield block(run[start : start + size], here)
-                        number += 1
-                    held, length = [run[full:]], length - full
-                    ends = [(at - full, d) for at, d in ends if at > full]
-        if length:
-            yield block(np.concatenate(held), [d for _, d in ends])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        write, f"file string, block bigint, tokens binary, ends array<{kind}>"
-    )
+    return docs.select("doc_id", "text").mapInArrow(write, f"file string, ordinal bigint, doc_id {kind}, length bigint")
 
 
 def _scan(blocks: DataFrame, separator: int, dtype: str) -> DataFrame:
@@ -122,17 +125,16 @@ def _scan(blocks: DataFrame, separator: int, dtype: str) -> DataFrame:
 
 
 def count_tokens(
-    blocks: DataFrame, separator: int = END_OF_DOCUMENT, dtype: str = DTYPE, names: str | None = None
+    blocks: DataFrame, separator: int = END_OF_DOCUMENT, dtype: str = DTYPE
 ) -> DataFrame:
-    """(file, ordinal, n_tokens, ended[, names]) of every document, the separator not counted.
+    """(file, ordinal, n_tokens, ended) of every document, the separator not counted.
 
-    ``blocks`` has file, block (in order within a file) and tokens; ``names`` is an array column with
-    one value for each document that ends in the block.  A document may span any number of blocks.
+    ``blocks`` has file, block (in order within a file) and tokens.  A document may span any number of
+    blocks.
     What follows a file's last separator is a document with ``ended`` false, if it has tokens.
     Empty documents count 0; an empty or null block adds nothing.
     """
-    keep = ["file", "block", *([names] if names else []), "tokens"]
-    scanned = _scan(blocks.select(*keep), separator, dtype)
+    scanned = _scan(blocks.select("file", "block", "tokens"), separator, dtype)
     order = Window.partitionBy("file").orderBy("block")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     has_end = F.col("n_ends") > 0
@@ -154,11 +156,9 @@ def count_tokens(
             (F.col("first") + i).alias("ordinal"),
             (n + F.when(i == 0, F.col("carry")).otherwise(0)).alias("n_tokens"),
             F.lit(True).alias("ended"),
-            *([F.get(names, i).alias(names)] if names else []),
         ),
     )
     rest = F.when(has_end, F.col("tail")).otherwise(F.col("carry") + F.col("length"))
-    kind = dict(scanned.dtypes).get(names or "", "array<void>").removeprefix("array<").removesuffix(">")
     unended = F.when(
         F.col("last") & (rest > 0),
         F.array(
@@ -166,7 +166,6 @@ def count_tokens(
                 (F.col("first") + F.col("n_ends")).alias("ordinal"),
                 rest.alias("n_tokens"),
                 F.lit(False).alias("ended"),
-                *([F.lit(None).cast(kind).alias(names)] if names else []),
             )
         ),
     )
@@ -175,6 +174,14 @@ def count_tokens(
 
 
 def document_token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): documents as flat files of word ids, written, scanned and stitched."""
-    counted = count_tokens(stage(word_id_blocks(docs), "token-files"), names="ends")
-    return counted.select(F.col("ends").alias("doc_id"), "n_tokens")
+    """(doc_id, n_tokens): documents as flat files of word ids, written, read in ranges and stitched.
+
+    The files know no documents: a count gets its id by file and ordinal.  A null or empty text has no
+    tokens, repeated rows are counted each, and ids may be of any type, null too.  Other columns are
+    ignored; an empty table gives no rows.
+    """
+    folder = f"{shared_root(docs.sparkSession)}/llm-tokens-{uuid.uuid4().hex}"
+    written = stage(write_flat(docs, folder), "token-names")
+    counted = count_tokens(flat_blocks(written.where("length is not null").select("file", "length")))
+    names = written.where("length is null").select("file", "ordinal", "doc_id")
+    return counted.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens")

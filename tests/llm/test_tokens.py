@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from epithet.llm import byte_bpe, chat_format, token_counts
 from epithet.llm.byte_bpe import ByteBpe, PerfectHash
@@ -130,7 +131,7 @@ def test_flat_files(spark, tmp_path, block_bytes):
         tokens.tofile(tmp_path / f"f{n}.bin")
         expected[f"f{n}.bin"] = brute_counts(tokens, 9)
     np.zeros(0, "<u2").tofile(tmp_path / "none.bin")
-    blocks = token_counts.flat_blocks(spark, str(tmp_path), block_bytes=block_bytes)
+    blocks = token_counts.flat_blocks(token_counts.listed(spark, str(tmp_path)), block_bytes=block_bytes)
     got = {}
     for r in token_counts.count_tokens(blocks, separator=9).orderBy("file", "ordinal").collect():
         rows = got.setdefault(r.file.rsplit("/", 1)[1], [])
@@ -140,8 +141,30 @@ def test_flat_files(spark, tmp_path, block_bytes):
 
 
 def test_documents_as_flat_files(make_docs, monkeypatch):
-    monkeypatch.setattr(token_counts.word_id_blocks, "__defaults__", (64,))
+    monkeypatch.setattr(token_counts.flat_blocks, "__defaults__", (token_counts.DTYPE, 64))
     texts = [*ODD, *[prose(n, 7 * n) for n in range(40)]]
     got = {r.doc_id: r.n_tokens for r in token_counts.document_token_counts(make_docs(texts, ["1 AS ends", "2 AS file"])).collect()}
     assert got == {i: len((t or "").encode().split()) for i, t in enumerate(texts)}
     assert token_counts.document_token_counts(make_docs([])).count() == 0
+
+
+def test_ids_of_any_type_and_repeated_rows(spark):
+    for kind in ("string", "double", "date"):
+        docs = spark.sql(f"SELECT CAST(x AS {kind}) AS doc_id, t AS text FROM VALUES ('2024-01-05', 'a b'), ('2024-01-05', 'a b'), (NULL, 'c') AS v(x, t)" if kind != "double" else "SELECT x AS doc_id, t AS text FROM VALUES (1.5D, 'a b'), (1.5D, 'a b'), (NULL, 'c') AS v(x, t)")
+        got = sorted((r.doc_id is None, r.n_tokens) for r in token_counts.document_token_counts(docs).collect())
+        assert got == [(False, 2), (False, 2), (True, 1)]
+
+
+def test_a_file_of_three_gigabytes(spark, tmp_path):
+    """A sparse file beyond 2 GB is read in ranges, by several tasks."""
+    path, size = tmp_path / "large.bin", 3 << 30
+    with open(path, "wb") as f:
+        f.truncate(size)
+        for at in (10, (2 << 30) + 20, size - 2):
+            f.seek(at)
+            f.write(np.array([7], "<u2").tobytes())
+    blocks = token_counts.flat_blocks(token_counts.listed(spark, str(path)), block_bytes=16 << 20)
+    rows = token_counts.count_tokens(blocks, separator=7).orderBy("ordinal").collect()
+    assert [(r.n_tokens, r.ended) for r in rows] == [(5, True), ((1 << 30) + 10 - 6, True), (size // 2 - 1 - (1 << 30) - 11, True)]
+    tasks = blocks.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 3
