@@ -16,6 +16,9 @@ def get_spark(app: str = "epithet", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Plans here have thousands of expressions; recording a call site for each takes half the time of
+        # building them.  Switch it on to have them in error messages.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():
