@@ -123,7 +123,7 @@ def alignment_contrast(contrast: DataFrame) -> DataFrame:
     The test has one row per pos and is attached to every row of it.
     """
     own = F.col("category_type") == "own"
-    diffs = (
+    diffs = settle(
         contrast.groupBy("grp", "pos")
         .agg(
             F.max(F.when(own, F.col("category"))).alias("own_category"),

@@ -117,10 +117,9 @@ def _similarities(spark: SparkSession, sf: str) -> DataFrame:
 
 def _contrast(spark: SparkSession, sf: str) -> DataFrame:
     members = _members(spark)
-    docs = similarity.group_documents(settle(_top(spark, sf, SIMILARITY_MIN_COUNT)))
+    docs = settle(similarity.group_documents(_top(spark, sf, SIMILARITY_MIN_COUNT)))
     categories = similarity.category_documents(docs, members)
-    texts = docs.select(F.explode("terms").alias("text"))
-    vectors = _vectors(spark, sf, texts)
+    vectors = settle(_vectors(spark, sf, docs.select(F.explode("terms").alias("text"))))
     return similarity.category_contrast(
         similarity.document_vectors(docs, "grp", vectors),
         similarity.document_vectors(categories, "category", vectors),

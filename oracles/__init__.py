@@ -10,9 +10,15 @@ from __future__ import annotations
 import re
 
 from epithet import params
-from epithet.functions.text import SENTENCE_RUN, SPACE, WORD_RUN
 from epithet.params import TEST_LEXICON as LEX
 
+# Written out here, so that a mistake in the code's patterns does not hide itself.
+# Code points that count as white space: controls, blanks, line and paragraph separators.
+BLANK_CODES = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+BLANKS = "".join(map(chr, BLANK_CODES))
+SPACE = "".join(f"\\x{{{code:X}}}" for code in BLANK_CODES)
+WORDS = r"[\p{L}\p{N}_]+"
+
 NAMING = "('NOUN','PROPN')"
 MODIFYING = "('amod','compound')"
 SUBJ = "('nsubj','nsubjpass')"
@@ -45,12 +51,13 @@ def sentence_ctes(p: str, source: str) -> dict[str, str]:
         f"{p}sent": f"""
             SELECT doc_id, sent_id, sentence FROM (
               SELECT doc_id, unnest(range(len(r))) AS sent_id, unnest(r) AS sentence FROM (
-                SELECT doc_id, regexp_extract_all(coalesce(text, ''), {text(SENTENCE_RUN)}) AS r
+                SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+'),
+                  lambda part: trim(part, {text(BLANKS)})), lambda part: part <> '') AS r
                 FROM {source}))
             """,
         f"{p}tok0": f"""
             SELECT doc_id, sent_id, unnest(range(len(w))) AS i, unnest(w) AS tok FROM (
-              SELECT doc_id, sent_id, regexp_extract_all(lower(sentence), {text(WORD_RUN)}) AS w
+              SELECT doc_id, sent_id, regexp_extract_all(lower(sentence), {text(WORDS)}) AS w
               FROM {p}sent)""",
         f"{p}tok": f"""
             SELECT doc_id, sent_id, row_number() {over} - 1 AS i, tok FROM (

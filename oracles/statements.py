@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from epithet import params
-from epithet.functions.text import SPACE
 from epithet.params import TEST_LEXICON as LEX
 from oracles import (
+    SPACE,
     COMPASS,
     MODIFYING,
     MULTI,
