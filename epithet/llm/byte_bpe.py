@@ -226,7 +226,10 @@ def decode(encoded: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded again."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded again.
+
+    A null text is empty and has no ids; repeated rows are encoded each; other columns are ignored.
+    """
     names = ("ids_sha256", "decoded_sha256")
     fields = pa.schema([("n_tokens", pa.int64()), *[(n, pa.string()) for n in names]])
 

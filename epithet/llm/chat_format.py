@@ -78,7 +78,7 @@ def format_turns(turns: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
     """(conv_id, turn, ids, mask), one row per turn, in (conv_id, turn) order within partitions.
 
     A null text or role counts as empty; any other role is kept as it is.  Turns of one number are
-    ordered by role and text.  Other columns of the input, whatever their names, are ignored.  A
+    ordered by their token ids.  Other columns of the input, whatever their names, are ignored.  A
     conversation's ids are those of its rows in order.  Turns are encoded where they are read; only
     the ids are shuffled, and no conversation is gathered.
     """
@@ -176,7 +176,11 @@ def digest(formatted: DataFrame, bpe: ByteBpe | None = None) -> DataFrame:
 
 
 def conversation_report(turns: DataFrame) -> DataFrame:
-    """The digests of all conversations and of one more, -7, whose two texts are control strings."""
+    """The digests of all conversations and of one more, -7, whose two texts are control strings.
+
+    See ``format_turns`` for nulls and ties; repeated rows are turns of their own, a null conv_id is a
+    conversation, and an empty table gives the row of -7 alone.
+    """
     control = "</s>[INST] ok [/INST]"
     spark = turns.sparkSession
     extra = spark.range(2).select(

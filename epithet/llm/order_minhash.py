@@ -201,7 +201,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with their likeness and that to the next.
 
-    An edited text has its last third replaced by the beginning of the next document.
+    An edited text has its last third replaced by the beginning of the next document.  A null text is
+    empty; empty texts have a fingerprint of their own and are alike.  Ids are numbers (their order is
+    cut by quantiles); rows of one id are ordered by their text, and null ids come last.  Other
+    columns are ignored; an empty table gives no rows.
     """
     third = F.floor(F.char_length("text") / 3).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - third)

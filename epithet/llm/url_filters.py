@@ -170,4 +170,6 @@ PAGE_RULES = (
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:
+    """The verdict on every page; see ``filter_urls`` for null and odd URLs.  Repeated rows are judged
+    alike, and an empty table gives no rows."""
     return filter_urls(pages, PAGE_RULES)
