@@ -33,7 +33,7 @@ BITS_PER_ENTRY, PROBES, BASE = 16, 6, 1.5
 ORDER = 3  # longest n-grams
 DISCOUNT = 0.75  # taken off every count above one word
 BUCKET_BYTES = 16 << 20  # of text: a bucket counts about as many n-grams as such a text has
-FLUSH = 12 << 20  # bytes of text in a chunk, and the rest of its last text
+FLUSH = 6 << 20  # bytes of text in a chunk, and the rest of its last text
 END = np.uint64(0x5851F42D4C957F2D)  # stands before the first word and after the last
 _LOW40 = np.uint64((1 << 40) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -44,26 +44,24 @@ def tokens_of(text: str | None) -> np.ndarray:
     return np.append(word_hashes((text or "").encode()), END)
 
 
-def grams_of(tokens: np.ndarray) -> np.ndarray:
-    """Keys of the n-grams that end at each token: all of two words, then all of three, and so on.
+def grams(tokens: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of the n-grams that end at each token, first those of two words, then of three, and so on.
 
-    Before the first token of a text stand ends.
+    ``starts`` are the first tokens of the texts; before them stand ends.
     """
-    keys, longer = tokens, []
+    keys, before_all = tokens, np.array([END])
     for n in range(2, ORDER + 1):
         # The n-gram at a token is the shorter one at the token before, and this token.
-        before = np.append(_ends(n - 1), keys[:-1])
+        before = np.empty_like(keys)
+        before[1:] = keys[:-1]
+        before[starts] = before_all
         keys = mix(before * _STEP + tokens + np.uint64(n))
-        longer.append(keys)
-    return np.concatenate(longer)
+        before_all = mix(before_all * _STEP + END + np.uint64(n))
+        yield keys
 
 
-def _ends(n: int) -> np.ndarray:
-    """The key of ``n`` ends."""
-    key = np.array([END])
-    for k in range(2, n + 1):
-        key = mix(key * _STEP + END + np.uint64(k))
-    return key
+def _starts(texts: list[np.ndarray]) -> np.ndarray:
+    return np.cumsum([0, *map(len, texts[:-1])])
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -215,16 +213,18 @@ def _partial_counts(rows: DataFrame, buckets: int) -> DataFrame:
 
     def flush(chunk: int, texts: list[np.ndarray], trained: list[bool], asked: bool) -> pa.RecordBatch:
         tokens = np.concatenate(texts)
-        pairs = np.concatenate([grams_of(t) for t in texts])
-        lengths = np.array([len(t) for t in texts])
-        parts = []
-        for keys, each in ((tokens, lengths), (pairs, (ORDER - 1) * lengths)):
-            counted = np.repeat(np.array(trained, bool), each)
+        counted = np.repeat(np.array(trained, bool), [len(t) for t in texts])
+
+        def summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             distinct, place = np.unique(keys, return_inverse=True)
-            counts = np.bincount(place[counted], minlength=len(distinct))
+            return distinct, np.bincount(place[counted], minlength=len(distinct))
+
+        def placed(distinct: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
             order, ends = _by_bucket(distinct, buckets)
-            parts.append((distinct[order], counts[order], ends))
-        (w, wn, we), (p, pn, pe) = parts
+            return distinct[order], counts[order], ends
+
+        w, wn, we = placed(*summed(tokens))
+        p, pn, pe = placed(*map(np.concatenate, zip(*map(summed, grams(tokens, _starts(texts))), strict=True)))
         out = [
             (
                 b, chunk, asked,
@@ -307,7 +307,8 @@ def _score_chunk(model: Model, buckets: int, texts: list[np.ndarray], replies: l
     lengths = np.array([len(t) for t in texts])
     starts = np.cumsum(lengths) - lengths
     words, place = np.unique(tokens, return_inverse=True)
-    keys, key_place = np.unique(np.concatenate([grams_of(t) for t in texts]), return_inverse=True)
+    found = [np.unique(keys, return_inverse=True) for keys in grams(tokens, starts)]
+    keys = np.concatenate([distinct for distinct, _ in found])
     replies = sorted(replies, key=lambda r: r[0])
     if sum(r[1] for r in replies) % (1 << 62) != (_sum(words) + _sum(keys)) % (1 << 62):
         raise RuntimeError("two passes over the texts met them in different order: write them to a table first")
@@ -321,13 +322,13 @@ def _score_chunk(model: Model, buckets: int, texts: list[np.ndarray], replies: l
     guess = count_of(gathered(words, 3, "u1"))
     joint = count_of(gathered(keys, 4, "u1"))
     base = model.log_base(exact)
-    # Places of each text's n-grams of one length, text after text.
-    by_text = np.split(key_place, np.cumsum((ORDER - 1) * lengths)[:-1])
     ends = guess[np.searchsorted(words, END)]
     share = (10 ** model.log_base(guess))[place]
     context = guess[place]
-    for n in range(ORDER - 1):
-        own = joint[np.concatenate([p[n * size : (n + 1) * size] for p, size in zip(by_text, lengths, strict=True)])]
+    first = 0
+    for distinct, where in found:
+        own = joint[first + where]
+        first += len(distinct)
         # The context of a token is the shorter n-gram at the token before; before a text stand ends.
         before = np.append(0.0, context[:-1])
         before[starts] = ends
