@@ -10,7 +10,8 @@ go to their buckets once, to be counted and then probed, and what the buckets re
 texts again.
 
 The probability of a word backs off from three words to two to one: the discounted share of the longer
-n-gram in its context, and the discount's mass on the shorter one.
+n-gram in its context, and the discounts' mass on the shorter one.  How many discounts a context has is
+estimated, so a context's probabilities add up to at most one.
 
 The base score uses exact word counts, which come with the replies.
 """
@@ -334,7 +335,10 @@ def _score_chunk(model: Model, buckets: int, texts: list[np.ndarray], replies: l
         before[starts] = ends
         seen = np.maximum(before, own)
         with np.errstate(divide="ignore", invalid="ignore"):
-            backed = np.maximum(own - DISCOUNT, 0.0) / seen + DISCOUNT * share
+            # About as many different words follow as the root of what the own one leaves.
+            others = seen - own
+            kinds = (own > 0) + np.minimum(others, np.sqrt(others))
+            backed = (np.maximum(own - DISCOUNT, 0.0) + DISCOUNT * kinds * share) / seen
         share, context = np.where(seen > 0, backed, share), own
     score = np.log10(share)
     summed = lambda x: np.add.reduceat(x, starts)

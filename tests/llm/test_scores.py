@@ -159,7 +159,8 @@ def level_scores(rows, least=1):
                 own = count(tuple(padded[at - n : at + 1]))
                 context = count((end,)) if at == 2 else count(tuple(padded[at - n : at]))
                 top = max(own, context)
-                share = max(own - 0.75, 0) / top + 0.75 * share if top else share
+                kinds = (own > 0) + min(top - own, math.sqrt(top - own))
+                share = (max(own - 0.75, 0) + 0.75 * kinds * share) / top if top else share
             score += math.log10(share)
         yield i, score
 
@@ -170,6 +171,7 @@ def test_score_equals_exact_counts(make_docs):
     got = {r.doc_id: r.score for r in lm_scoring.held_out_scores(make_docs([(*r, "s") for r in rows])).collect()}
     exact = dict(level_scores(rows))
     assert got.keys() == exact.keys()
+    assert all(x < 0 for x in got.values())
     off = [abs(got[i] - exact[i]) / len((t or "").split() or [1]) for i, t in rows]
     assert max(off) < 0.2 and sorted(off)[len(off) // 2] < 0.02
 
