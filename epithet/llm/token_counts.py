@@ -183,5 +183,6 @@ def document_token_counts(docs: DataFrame) -> DataFrame:
     folder = f"{shared_root(docs.sparkSession)}/llm-tokens-{uuid.uuid4().hex}"
     written = stage(write_flat(docs, folder), "token-names")
     counted = count_tokens(flat_blocks(written.where("length is not null").select("file", "length")))
-    names = written.where("length is null").select("file", "ordinal", "doc_id")
+    # Packed as they are in their files, names look small enough to broadcast; they grow with the corpus.
+    names = written.where("length is null").select("file", "ordinal", "doc_id").hint("merge")
     return counted.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens")
