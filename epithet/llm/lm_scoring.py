@@ -33,6 +33,7 @@ from epithet.llm.common import mix, remainder5, stage, word_hashes
 BITS_PER_ENTRY, PROBES, BASE = 16, 6, 1.5
 ORDER = 3  # longest n-grams
 DISCOUNT = 0.75  # taken off every count above one word
+SLICE = 1 << 16  # n-grams that are probed at once
 BUCKET_BYTES = 16 << 20  # of text: a bucket counts about as many n-grams as such a text has
 FLUSH = 6 << 20  # bytes of text in a chunk, and the rest of its last text
 END = np.uint64(0x5851F42D4C957F2D)  # stands before the first word and after the last
@@ -91,7 +92,8 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     segment = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         held = keys[levels >= level]
-        segment[_places(held, level, np.full(1, bits)).ravel().astype(np.int64)] = True
+        for i in range(0, len(held), SLICE):
+            segment[_places(held[i : i + SLICE], level, np.full(1, bits)).ravel().astype(np.int64)] = True
     return np.packbits(segment, bitorder="little").tobytes()
 
 
@@ -106,6 +108,10 @@ class CountFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Levels read back, 0 for n-grams that the filter doesn't hold."""
+        parts = [self._levels(keys[i : i + SLICE]) for i in range(0, len(keys), SLICE)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
         bucket = ((keys >> np.uint64(40)) % np.uint64(len(self.bits))).astype(np.int64)
         low, bits, starts = keys & _LOW40, self.bits[bucket], self.starts[bucket]
         levels = np.zeros(len(keys), np.int64)
