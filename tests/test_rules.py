@@ -237,6 +237,43 @@ def test_circles_are_in_no_subtree(spark):
     assert [s is None for s in found] == [True, True, True, False, False]
 
 
+def hub(n):
+    """A sentence whose root all tokens hang on, every fifth of them a mention."""
+    words = [("thai", "PROPN", "NNP", "nsubj"), ("good", "ADJ", "JJ", "dep"), ("man", "NOUN", "NN", "dep"),
+             ("of", "ADP", "IN", "dep"), ("he", "PRON", "PRP", "dep")]
+    toks = [(i, w, w, pos, tag, dep, 0, "NORP" if w == "thai" else "") for i in range(n) for w, pos, tag, dep in [words[i % 5]]]
+    toks[0] = (0, "sings", "sing", "VERB", "VBZ", "ROOT", 0, "")
+    toks[1] = (1, "play", "play", "VERB", "VB", "conj", 0, "")
+    return toks
+
+
+def test_mentions_on_one_root_hold_no_copies_of_its_children(spark):
+    lex = Lexicon.of(["thai"])
+    df = frame(spark, hub(200), hub(800))
+    kept = rules.mention_context(df, lex).select(F.octet_length(F.to_json(F.struct("kids", "aux", "ms"))))
+    small, large = sorted(r[0] for r in kept.collect())
+    assert large < 6 * small, (small, large)
+    (row,) = rules.collect_modifiers(frame(spark, hub(4000)), lex).collect()
+    assert [row.nouns, row.verbs, row.adjs] == [[], ["play", "sing"], ["good"]]
+    assert [tuple(r) for r in variants.count_verbs(frame(spark, hub(4000)), lex).collect()] == [("thai", "sing", 799)]
+
+
+def test_children_of_unknown_kind_still_count_as_unknown(spark):
+    """A clause or participle with such a child is left out: it may have a subject, or be passive."""
+    toks = [
+        (0, "thai", "thai", "PROPN", "NNP", "amod", 1, ""), (1, "man", "man", "NOUN", "NN", "nsubj", 4, ""),
+        (2, "named", "name", "VERB", "VBN", "acl", 1, ""), (3, "x", "x", "NOUN", "NN", None, 2, ""),
+        (4, "sings", "sing", "VERB", "VBZ", "ROOT", 4, ""),
+    ]
+    (row,) = rules.collect_modifiers(frame(spark, toks), GROUPS).collect()
+    assert row.verbs == ["sing"]
+    (row,) = rules.collect_modifiers(frame(spark, [*toks[:3], (3, "x", "x", "NOUN", "NN", "dep", 2, ""), toks[4]]), GROUPS).collect()
+    assert row.verbs == ["name", "sing"]
+    toks = [(0, "thai", "thai", "PROPN", "NNP", "nsubj", 1, ""), (1, "singing", "sing", "VERB", "VBG", "ROOT", 1, "")]
+    (row,) = rules.collect_modifiers(frame(spark, [*toks, (2, "is", None, "AUX", "VBZ", "aux", 1, "")]), GROUPS).collect()
+    assert row.verbs == []
+
+
 def test_work_is_linear_in_the_sentence(spark):
     """Four times the tokens may take at most about four times as long; a square would take sixteen."""
     lex = Lexicon.of(["thai"])
