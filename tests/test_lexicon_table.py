@@ -114,3 +114,23 @@ def test_rolling_hashes_find_every_substring(monkeypatch, piece):
     found = set(rolling.find(data, [1, 3, 9], known))
     every = {(i, len(x)) for x in needles for i in range(len(data)) if data.startswith(x, i)}
     assert every <= found and all(n in (1, 3, 9) and i + n <= len(data) for i, n in found)
+
+
+def test_few_other_substrings_pass_the_filter(spark, docs):
+    """What passes is written, sorted and joined: of a text without terms next to nothing may."""
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("abcdefgh ") for _ in range(2000)) + ("thai" if i == 7 else "")) for i in range(50)]
+    df = spark.createDataFrame(texts, "doc_id bigint, low string")
+    needles = many(spark, 0).terms.select(F.translate("term", "_", " ").alias("needle"))
+    found = lexicon_table._with_substrings(df, "low", needles)
+    passed = found.select(F.sum(F.size(F.flatten(F.transform("found", lambda f: f["runs"]))))).first()[0]
+    assert 1 <= passed < 1000  # of about 700,000 substrings; one bit among 16 for each term let 18,725 pass
+
+
+def test_filter_bits_are_those_that_find_asks_for():
+    import numpy as np
+
+    known = np.zeros(1 << 12, np.uint64)
+    for bit in rolling.bits(rolling.whole_hash(b"thai"), 64 << 12):
+        known[bit >> 6] |= np.uint64(1 << (bit & 63))
+    assert list(rolling.find(b"a thai, thais", [4], known, twice=True)) == [(2, 4), (8, 4)]
