@@ -11,6 +11,7 @@ from epithet.functions.student_t import _log_tail, log_p_value, p_text
 from epithet.functions.vectors import has_direction, mean_pool
 from epithet.operators import counts, logodds, similarity, stats
 from epithet.params import Lexicon, taxonomy_frame
+from epithet.plans.stages import settle
 
 COUNTS = "grp string, pos string, term string, cnt bigint"
 
@@ -112,6 +113,25 @@ def test_two_sided_log_odds(spark):
     assert [(r.side, r.term) for r in sorted(ends, key=lambda r: r.side)] == [(1, "a"), (2, "b")]
 
 
+def test_vocabulary_is_not_dealt_out_by_pos(spark):
+    """Whatever its size: only the best terms of each task reach the few tasks that rank a pos."""
+    terms = spark.range(20_000).select(
+        F.when(F.col("id") % 50 == 0, "verb").otherwise("noun").alias("pos"),
+        F.sha2(F.col("id").cast("string"), 256).alias("term"),
+        (F.col("id") % 7).alias("c1"),
+        (F.col("id") % 5).alias("c2"),
+    )
+    pairs, key = settle(terms), "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        spark.conf.set(key, "20k")
+        scored = logodds.two_sided_log_odds(pairs)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert scored.count() == 20_000
+    finally:
+        spark.conf.unset(key)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_missing_target_group_is_an_error(spark):
     df = spark.createDataFrame(random_counts(), COUNTS)
     with pytest.raises(ValueError, match="nobody"):
